@@ -7,6 +7,7 @@ import importlib
 #: Query name and module. A module has query(spark, sf_dir), and ORACLE where SQL can express it.
 MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
+    "op2_neardup": "neardup",
     "op6_sharding": "sharding",
     "op9_token_files": "token_files",
 }
