@@ -9,6 +9,7 @@ MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
     "op2_neardup": "neardup",
     "op6_sharding": "sharding",
+    "op7_decontaminate": "decontaminate",
     "op9_token_files": "token_files",
 }
 
