@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one numpy pass works on at most (a longer single text is one pass of its own).
 SLICE_CHARS = 1 << 20
@@ -59,3 +60,8 @@ def replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBa
     """The batch with these columns added at its end; columns of the same names go."""
     names = [n for n in batch.schema.names if n not in columns]
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + list(columns.values()), names + list(columns))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once for each row: the optimizer moves filters over it and later uses of it past nothing here."""
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))

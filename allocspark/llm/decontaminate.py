@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import once, table
 
 #: Words of a window, words that are hashed, windows at most that go to every task.
 WINDOW, LEAD, MOST = 13, 3, 50_000
@@ -67,14 +67,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """``docs`` with _dc_words (array), _dc_hits (array of start, length, items) in order of start."""
     known = windows(benchmark, item, "text", size)
     lengths = {r["length"]: r["n"] for r in known.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    row = docs.drop("_dc_words", "_dc_hits").withColumn("_dc_words", words(F.col(text)))
+    row = once(docs.drop("_dc_hits"), "_dc_words", words(F.col(text)))
     kind = "array<struct<start int, length int, items array<string>>>"
     none = F.array().cast(kind)
     if sum(lengths.values()) > most:
         return _joined(row, known, sorted(lengths), none, kind)
     found = [_starts(n, slots := 1 << (4 * count).bit_length(), _buckets(known, n, slots), none) for n, count in sorted(lengths.items())]
     hits = F.array_sort(F.concat(*found)) if len(found) > 1 else found[0] if found else none
-    return row.withColumn("_dc_hits", hits.cast(kind))
+    return once(row, "_dc_hits", hits.cast(kind))
 
 
 def _starts(n: int, slots: int, buckets: tuple, none: Column) -> Column:

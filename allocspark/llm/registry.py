@@ -8,9 +8,11 @@ import importlib
 MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
     "op2_neardup": "neardup",
+    "op4_quality_rules": "quality_rules",
     "op6_sharding": "sharding",
     "op7_decontaminate": "decontaminate",
     "op9_token_files": "token_files",
+    "op10_toxicity": "toxicity",
 }
 
 
