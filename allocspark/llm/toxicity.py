@@ -1,8 +1,8 @@
 """Toxicity scores (operator 10): boosted trees over dense features, calibrated.
 
 The model is fitted on the driver on a bounded sample of labelled documents of the training
-folds, dealt into three parts by their ids: from the first comes a lexicon (words whose
-documents are toxic far more often than others), from the second the trees, from the third
+folds, dealt into three parts by their ids: from the first comes a lexicon (words and
+word beginnings whose documents are toxic far more often than others), from the second the trees, from the third
 an isotonic map from their sums to probabilities. Every document is then scored where it
 lies. Labels, language, source and id are no inputs.
 
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import once, table, texts_of
 
 #: Labelled documents at most that the model is fitted on; lexicon words at most; score from which a document counts as toxic.
-SAMPLE, LEXICON, TOXIC = 9000, 400, 0.7
+SAMPLE, LEXICON, TOXIC = 18_000, 1000, 0.7
+#: Lengths of the word beginnings that the lexicon may hold, written with a star.
+STEMS = range(4, 9)
 PRONOUNS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus su vosotros".split())
 PLAIN = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
@@ -39,16 +41,22 @@ def plain(word: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word.translate(PLAIN).replace("*", ""))
 
 
+def weight(word: str, lexicon: dict[str, float]) -> float:
+    """The largest weight of the word and its beginnings, 0 without any."""
+    return max([lexicon.get(word, 0.0)] + [lexicon.get(word[:k] + "*", 0.0) for k in STEMS if len(word) >= k])
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     """The dense features of one text."""
     words = WORD.findall(text.lower())
     n = len(words)
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    value = {w: weight(w, lexicon) for w in set(words)}
+    hits = [i for i, w in enumerate(words) if value[w]]
     odd = [w for w in set(words) if not w.isalpha() and any(c.isalpha() for c in w)]
-    unmasked = {w for w in odd if w not in lexicon and plain(w) in lexicon}
+    unmasked = {w for w in odd if not value[w] and weight(plain(w), lexicon)}
     masked = sum(w in unmasked for w in words) if unmasked else 0
     close = sum(any(w in PRONOUNS for w in words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits)
-    weights = [lexicon[words[i]] for i in hits]
+    weights = [value[words[i]] for i in hits]
     letters = max(1, len(text))
     capitals = sum(map(str.isupper, text)) if not text.islower() else 0
     return [len(hits) / max(1, n), len(hits), max(weights, default=0.0), sum(weights) / max(1, n), len({words[i] for i in hits}), close / max(1, n), close, capitals / letters, text.count("!") / letters, text.count("?") / letters, len(odd) / max(1, n), masked, float(np.log1p(n))]
@@ -153,12 +161,19 @@ def _rows(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return docs.select("part", "y", "text").mapInArrow(run, "part int, y int, x array<double>")
 
 
+def _stems(k: int) -> Column:
+    """The first k letters of each word that has so many, and a star."""
+    return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from the labelled documents of the training folds that have the least hashes."""
     usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(fold(F.col("k")) % 3 != 1)
     chosen = usable.orderBy(F.xxhash64("k"), "y").limit(sample).select("k", "y", F.pmod(F.xxhash64("k", F.lit("part")), F.lit(3)).cast("int").alias("part"))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("part", "y", "text")
-    seen = rows.where("part = 0").select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).alias("w"))
+    seen = once(rows.where("part = 0").select("y", "text"), "words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).select("y", "words")
+    stems = [_stems(k) for k in STEMS]
+    seen = seen.select("y", F.explode(F.array_distinct(F.concat("words", *stems))).alias("w"))
     n = {r["y"]: r["n"] for r in rows.where("part = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("good") + 0.5) / (n.get(0, 0) + 1))
     words = seen.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where("bad >= 5").select("w", odds.alias("o"), "bad").where("o > 1.5")
