@@ -11,6 +11,7 @@ MODULES = {
     "op4_quality_rules": "quality_rules",
     "op6_sharding": "sharding",
     "op7_decontaminate": "decontaminate",
+    "op8_secrets": "secret_scan",
     "op9_token_files": "token_files",
     "op10_toxicity": "toxicity",
 }
