@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_sentencepiece": "sentencepiece_codec",
     "op2_neardup": "neardup",
+    "op3_licenses": "licenses",
     "op4_quality_rules": "quality_rules",
     "op6_sharding": "sharding",
     "op7_decontaminate": "decontaminate",
