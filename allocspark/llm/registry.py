@@ -10,6 +10,7 @@ MODULES = {
     "op2_neardup": "neardup",
     "op3_licenses": "licenses",
     "op4_quality_rules": "quality_rules",
+    "op5_suffix_dedup": "suffix_dedup",
     "op6_sharding": "sharding",
     "op7_decontaminate": "decontaminate",
     "op8_secrets": "secret_scan",
