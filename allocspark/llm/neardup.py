@@ -14,7 +14,10 @@ them. The steps:
    are skipped. Lists over ``block`` sets are split into pairs of blocks, which are tasks of
    their own. In a list collisions are counted on 8 bits of each coordinate, which can only
    add candidates, and the pairs that lie within a group or whose sizes differ too much go.
-4. The candidates are confirmed on full sets; all links give the components.
+4. The candidates are confirmed on full sets; all links give the components. A list with
+   very many candidates (families of documents that are alike, but mostly not enough) gives
+   a tree over them instead of all pairs; the sets of such a family meet in blocks, and
+   each pair of blocks verifies its candidates in place and gives the links that join groups.
 
 A pair at the threshold of 0.75 has at least 30 of 64 equal coordinates but for one in
 some millions, and a lost link matters only where no other path joins its documents.
@@ -38,7 +41,8 @@ from .common import shuffle_partitions, slices, table, texts_of, written
 from .graph import components
 from .shingles import min_hashes, shingle_sets
 
-K, MATCH, BANDS, BLOCK, PERCENT = 64, 30, 16, 2048, 75
+#: Coordinates, equal ones that make a candidate, bands, sets in a block, similarity in percent, pairs for each set that a list gives as such.
+K, MATCH, BANDS, BLOCK, PERCENT, SPARSE = 64, 30, 16, 2048, 75, 8
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, k: int = K) -> DataFrame:
@@ -57,7 +61,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = PERCENT, block: int = 512) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = PERCENT, block: int = 64) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Each b is sent to its a once; an a with many partners is sent to several tasks."""
     n = docs.sparkSession
     dealt = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / block).cast("int").alias("salts"))
@@ -99,8 +103,12 @@ def banded(sets: DataFrame, match: int = MATCH, bands: int = BANDS) -> DataFrame
     return near.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).where(F.col("same") >= match).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def colliding(sets: DataFrame, match: int = MATCH, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a < b) of different groups with ``match`` equal coordinates. sets: doc_id, grp, n_shingles, sig."""
+def colliding(sets: DataFrame, match: int = MATCH, block: int = BLOCK, percent: int = PERCENT, sparse: int = SPARSE) -> DataFrame:
+    """Pairs (a < b) of different groups with ``match`` equal coordinates. sets: doc_id, grp, n_shingles, sig.
+
+    A list with more than ``sparse`` pairs for each of its sets doesn't give them: it gives
+    one edge (with ``dense``) from each set to the least set that its pairs lead to.
+    """
     prefix = K - match + 1
     posted = sets.select("doc_id", "grp", F.posexplode(F.slice("sig", 1, prefix)).alias("i", "value")).select("doc_id", "grp", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("value")).alias("key"))
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -129,27 +137,115 @@ def colliding(sets: DataFrame, match: int = MATCH, block: int = BLOCK, percent:
                 starts, ends = starts[:-1], ends[:-1]
             else:
                 rest = None
-            left, right = [], []
+            out = {False: [], True: []}
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > 1:
                     own, ids, grp, n, sig = (x[s:e] for x in now[3:])
-                    step = max(1, (1 << 23) // ((e - s) * K))
-                    for p in range(0, e - s, step):
-                        q = min(p + step, e - s)
-                        fit = (ids[p:q, None] < ids) & (grp[p:q, None] != grp)
-                        low, high = np.minimum(n[p:q, None], n), np.maximum(n[p:q, None], n)
-                        fit &= 100 * low >= percent * high
-                        if now[1][s] != now[2][s]:
-                            fit &= own[p:q, None] != own
-                        i, j = np.nonzero(fit)
-                        hit = (sig[p + i] == sig[j]).sum(axis=1) >= match
-                        left.append(ids[p + i[hit]])
-                        right.append(ids[j[hit]])
-            if left:
-                found = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                    i, j = _matching(ids, grp, n, sig, own if now[1][s] != now[2][s] else None, match, percent)
+                    if dense := len(i) > sparse * (e - s):
+                        root = _roots(i, j, e - s)
+                        least = np.full(e - s, np.iinfo(np.int64).max)
+                        np.minimum.at(least, root, ids)
+                        left, right = least[root], ids
+                        out[dense].append(np.stack((left[left != right], right[left != right]), axis=1))
+                    elif len(i):
+                        out[dense].append(np.stack((ids[i], ids[j]), axis=1))
+            for dense, parts in out.items():
+                if parts:
+                    found = np.unique(np.concatenate(parts), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(len(found), dense))], ["a", "b", "dense"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, dense boolean").distinct()
+
+
+def _matching(ids: np.ndarray, grp: np.ndarray, n: np.ndarray, sig: np.ndarray, own: np.ndarray | None, match: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs (lesser id first) of different groups, and blocks where given, that collide often enough and whose sizes allow a link."""
+    left, right = [], []
+    step = max(1, (1 << 22) // (len(ids) * K))
+    for p in range(0, len(ids), step):
+        q = min(p + step, len(ids))
+        fit = (ids[p:q, None] < ids) & (grp[p:q, None] != grp)
+        fit &= 100 * np.minimum(n[p:q, None], n) >= percent * np.maximum(n[p:q, None], n)
+        if own is not None:
+            fit &= own[p:q, None] != own
+        i, j = np.nonzero(fit)
+        hit = (sig[p + i] == sig[j]).sum(axis=1) >= match
+        left.append(p + i[hit])
+        right.append(j[hit])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least place that each of n places is joined to by the pairs."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def clustered(docs: DataFrame, sets: DataFrame, edges: DataFrame, size: int = 5, match: int = MATCH, percent: int = PERCENT, block: int = BLOCK // 4) -> DataFrame:
+    """Links (a, b) that join the groups of all similar sets within the components of the dense edges.
+
+    Each component is dealt out by pairs of blocks of its sets. A task verifies the pairs that
+    collide often enough on full sets, all but those that its links join already, so it gives
+    fewer links than it has sets.
+    """
+    found = components(edges)
+    spread = found.groupBy("component").agg(F.count(F.lit(1)).alias("m")).select("component", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    small = sets.select("doc_id", "grp", F.col("n_shingles").alias("n"), F.transform("sig", lambda x: (x % 256 - 128).cast("tinyint")).alias("sig"))
+    rows = found.join(spread, "component").join(small, found["node"] == small["doc_id"]).select("component", "blocks", "doc_id", "grp", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own"))
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    rows = rows.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "own", "doc_id", "grp", "n", "sig", "text")
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "component", "r", "c").sortWithinPartitions("component", "r", "c")
+
+    def links(cell: tuple, own: list, ids: list, grp: list, n: list, sig: list, full: list) -> pa.RecordBatch:
+        own, ids, grp, n = (np.array(x) for x in (own, ids, grp, n))
+        sig = np.array(sig, np.int8).reshape(len(ids), -1)
+        left, right = _matching(ids, grp, n, sig, own if cell[1] != cell[2] else None, match, percent)
+        joined = {g: g for g in grp.tolist()}
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        out = []
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            x, y = root(int(grp[i])), root(int(grp[j]))
+            if x != y:
+                a, b = full[i], full[j]
+                at = np.searchsorted(a, b)
+                at[at == len(a)] = 0
+                both = int((a[at] == b).sum())
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    joined[max(x, y)] = min(x, y)
+                    out.append((int(ids[i]), int(ids[j])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, [[] for _ in range(6)]
+        for batch in batches:
+            for x in range(0, batch.num_rows, 256):
+                part = batch.slice(x, 256)
+                columns = [part.column(c).to_pylist() for c in range(8)]
+                for row in zip(*columns, shingle_sets(texts_of(part.column(8)), size), strict=True):
+                    if row[:3] != cell:
+                        if cell is not None:
+                            yield links(cell, *held)
+                        cell, held = row[:3], [[] for _ in range(6)]
+                    for h, v in zip(held, row[3:], strict=True):
+                        h.append(v)
+        if cell is not None:
+            yield links(cell, *held)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _ending(batches):
@@ -157,7 +253,7 @@ def _ending(batches):
     yield None
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sparse: int = SPARSE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(signatures(docs), "signatures")
@@ -166,8 +262,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     stars = written(confirmed(docs, banded(sets)), "stars")
     groups = components(stars)
     grouped = written(sets.join(groups, sets["doc_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp"), "n_shingles", "sig", "digest"), "groups")
-    pairs = written(colliding(grouped), "pairs")
-    links = confirmed(docs, pairs)
+    pairs = written(colliding(grouped, sparse=sparse), "pairs")
+    links = confirmed(docs, pairs.where("NOT dense").select("a", "b")).unionByName(clustered(docs, grouped, pairs.where("dense").select("a", "b")))
     merged = grouped.select("doc_id", "grp")
     a, b = (merged.select(F.col("doc_id").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
     joined = components(written(links, "links").join(a, "a").join(b, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
