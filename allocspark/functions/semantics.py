@@ -70,7 +70,7 @@ def quantile(value: str, p: float, dialect: str) -> str:
 
 
 def rate(condition: str) -> str:
-    return f"round(100.0D * count_if({condition}) / nullif(count(*), 0), 6)".replace("100.0D", "CAST(100 AS DOUBLE)")
+    return f"round(CAST(100 AS DOUBLE) * count(CASE WHEN {condition} THEN 1 END) / nullif(count(*), 0), 6)"
 
 
 @dataclass(frozen=True)
