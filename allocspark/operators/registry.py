@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates", "slices", "usage")
+MODULES = ("aggregates", "slices", "usage", "maintenance")
 
 
 def _all() -> dict:
