@@ -146,7 +146,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.share)
-        x = np.array([features(t, self.lexicon) for t in texts], float).reshape(len(texts), -1)
+        x = np.array([features(t, self.lexicon) for t in texts], float).reshape(len(texts), len(features("", {})))
         return np.clip(np.interp(self.trees.sums(x), *self.points), 0, 1)
 
 
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got = _rows(rows.where("part > 0"), lexicon).collect()
     got.sort(key=lambda r: (r["part"], r["y"], r["x"]))
     part, y = np.array([r["part"] for r in got], int), np.array([r["y"] for r in got], float)
-    x = np.array([r["x"] for r in got], float).reshape(len(got), -1)
+    x = np.array([r["x"] for r in got], float).reshape(len(got), len(features("", {})))
     if any(len(set(y[part == p])) < 2 for p in (1, 2)):
         return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
     trees = Trees().fit(x[part == 1], y[part == 1])
