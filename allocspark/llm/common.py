@@ -35,6 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """Let Spark's cleaner drop the shuffle files of finished steps; it learns of them when the driver collects its garbage."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, table, texts_of, written
+from .common import freed, shuffle_partitions, slices, table, texts_of, written
 from .graph import components
 from .shingles import min_hashes, shingle_sets
 
@@ -259,14 +259,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", spar
     signed = written(signatures(docs), "signatures")
     sets = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig"), "doc_id").alias("s")).select("s.*", "digest")
     sets = written(sets, "sets")
-    stars = written(confirmed(docs, banded(sets)), "stars")
+    stars = freed(written(confirmed(docs, banded(sets)), "stars"))
     groups = components(stars)
     grouped = written(sets.join(groups, sets["doc_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp"), "n_shingles", "sig", "digest"), "groups")
-    pairs = written(colliding(grouped, sparse=sparse), "pairs")
+    pairs = freed(written(colliding(grouped, sparse=sparse), "pairs"))
     links = confirmed(docs, pairs.where("NOT dense").select("a", "b")).unionByName(clustered(docs, grouped, pairs.where("dense").select("a", "b")))
     merged = grouped.select("doc_id", "grp")
     a, b = (merged.select(F.col("doc_id").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
-    joined = components(written(links, "links").join(a, "a").join(b, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    joined = components(freed(written(links, "links")).join(a, "a").join(b, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
     final = grouped.join(joined, grouped["grp"] == joined["node"], "left").select("digest", F.coalesce("component", "grp").alias("of"))
     out = signed.join(written(final, "classes"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))

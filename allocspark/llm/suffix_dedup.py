@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, table, texts_of, written
+from .common import freed, shuffle_partitions, slices, table, texts_of, written
 from .suffix_runs import LENGTH, Records, anchors, coded, repeats
 
 HOT = 1000
@@ -198,11 +198,9 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = written(anchored(docs.where(f"octet_length(text) >= {LENGTH}")), "anchors")
     counts = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", (F.col("n") > hot).alias("hot"))
     marks = found.join(counts, "fp").groupBy("ka", "kb").agg(F.collect_list(F.struct("fp", "place", "least", "most", "hot")).alias("marks"))
-    aside = written(docs.select("ka", "kb", "text").join(marks, ["ka", "kb"]), "repeated-texts")
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the steps before
+    aside = freed(written(docs.select("ka", "kb", "text").join(marks, ["ka", "kb"]), "repeated-texts"))
     cold = merged_runs(sorted_runs(aside, buckets), buckets)
-    spans = written(cold.unionByName(hot_spans(written(hot_windows(aside), "hot-windows"))), "spans")
-    spark.sparkContext._jvm.System.gc()
+    spans = freed(written(cold.unionByName(hot_spans(written(hot_windows(aside), "hot-windows"))), "spans"))
     return cut(aside.drop("marks"), spans)
 
 
