@@ -64,7 +64,8 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def cell(df: DataFrame, name: str) -> Column:
     """A column's text, null where it is blank or missing."""
-    return F.nullif(F.trim(F.col(name)), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+    text = F.trim(F.col(name)) if name in df.columns else F.lit(None).cast("string")
+    return F.when(text != "", text)
 
 
 def row_type(df: DataFrame) -> Column:
@@ -91,9 +92,9 @@ def area_name(text: Column) -> Column:
     """A dispatch area's name without its usual additions."""
     for pattern in AREA_CUTS:
         text = F.regexp_replace(text, pattern, "")
-    text = F.nullif(F.trim(text), F.lit(""))
+    text = F.regexp_extract(text, r"^\s*(.*\S)\s*$", 1)
     for wrong, right in AREA_TYPOS.items():
-        text = F.when(text == wrong, F.lit(right)).otherwise(text)
+        text = F.regexp_replace(text, f"^{re.escape(wrong)}$", right)
     return text
 
 
@@ -108,29 +109,34 @@ def indication_key(code: Column, text: Column) -> Column:
 
 def allocations(df: DataFrame) -> DataFrame:
     """Typed columns of allocation rows beside the raw row as JSON."""
-    c = lambda n: cell(df, n)
+    cells = ("krankenhaus_kurzname", "versorgungsbereich", "zuweisung_durch", "datum_erstellungsdatum", "uhrzeit_erstellungsdatum", "datum_eintreffzeit", "uhrzeit_eintreffzeit", "geschlecht", "alter", "transportmittel", "pzc", "pzc_und_text", "fachgebiet", "fachbereich", "ansteckungsfaehig", *FLAGS)
+    clean = F.struct(*[cell(df, n).alias(n) for n in cells], F.to_json(F.struct(*df.columns)).alias("row"))
+    df = df.select(F.explode(F.array(clean)).alias("c")).select("c.*")
+    c = F.col
     gender = F.upper(F.substring(c("geschlecht"), 1, 1))
     vehicle = F.upper(c("transportmittel"))
     pzc = c("pzc")
     digits = pzc.rlike(r"^\d{6}$")
     source = F.when(c("zuweisung_durch").isNull() | c("zuweisung_durch").contains("Koordinierung"), c("versorgungsbereich")).otherwise(c("zuweisung_durch"))
     infection = c("ansteckungsfaehig")
-    return df.select(
+    typed = F.struct(
         c("krankenhaus_kurzname").alias("hospital"), area_name(source).alias("dispatch_area"),
         moment(c("datum_erstellungsdatum"), c("uhrzeit_erstellungsdatum")).alias("created_at"), moment(c("datum_eintreffzeit"), c("uhrzeit_eintreffzeit")).alias("arrival_at"),
         F.when(gender == "M", "M").when(gender.isin("W", "F"), "F").when(gender.isNotNull(), "X").alias("gender"),
         F.when(c("alter").rlike(r"^\d+$"), c("alter").try_cast("int")).alias("age"),
         F.when(vehicle.rlike("^(BODEN|NAW|ITW|MZF|RTW)"), "G").when(vehicle.startswith("LUFT"), "A").alias("transport_type"),
-        F.when(digits & F.substring(pzc, 6, 1).isin("1", "2", "3"), F.substring(pzc, 6, 1).try_cast("int")).alias("urgency"), F.when(digits, F.substring(pzc, 1, 3).try_cast("int")).alias("code"), F.expr("substring(pzc_und_text, 5)").alias("indication") if "pzc_und_text" in df.columns else F.lit(None).cast("string").alias("indication"),
+        F.when(digits & F.substring(pzc, 6, 1).isin("1", "2", "3"), F.substring(pzc, 6, 1).try_cast("int")).alias("urgency"), F.when(digits, F.substring(pzc, 1, 3).try_cast("int")).alias("code"), F.expr("substring(pzc_und_text, 5)").alias("indication"),
         c("fachgebiet").alias("speciality"), c("fachbereich").alias("department"), F.when(~infection.isin(*NO_INFECTION), infection).alias("infection"),
-        *[F.coalesce(boolean(c(n)), F.lit(False)).alias(n) for n in FLAGS], F.to_json(F.struct(*df.columns)).alias("row"),
+        *[F.coalesce(boolean(c(n)), F.lit(False)).alias(n) for n in FLAGS], c("row"),
     )
+    # exploded from an array of one, so that later filters use the typed values instead of repeating their making
+    return df.select(F.explode(F.array(typed)).alias("t")).select("t.*")
 
 
 def messages() -> Column:
     """Everything that is wrong with a typed row."""
     rules = {
-        "hospital: must not be blank": "hospital IS NULL", "dispatch_area: must not be blank": "dispatch_area IS NULL", "created_at: must be a date and a time": "created_at IS NULL", "arrival_at: must be a date and a time": "arrival_at IS NULL",
+        "hospital: must not be blank": "hospital IS NULL", "dispatch_area: must not be blank": "dispatch_area IS NULL OR dispatch_area = ''", "created_at: must be a date and a time": "created_at IS NULL", "arrival_at: must be a date and a time": "arrival_at IS NULL",
         "arrival_at: must not be before created_at": "arrival_at < created_at", "gender: must be known": "gender IS NULL", "age: must be between 1 and 99": "age IS NULL OR age NOT BETWEEN 1 AND 99", "urgency: must be between 1 and 3": "urgency IS NULL",
         "code: must be between 100 and 999": "code IS NULL OR code NOT BETWEEN 100 AND 999", "transport_type: must be G or A": "transport_type IS NULL", "speciality: must not be blank": "speciality IS NULL", "department: must not be blank": "department IS NULL",
     }
