@@ -145,7 +145,7 @@ def messages() -> Column:
 
 def validated(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and rejects with their messages and the raw row."""
-    checked = typed.withColumn("messages", messages())
+    checked = typed.select("*", F.explode(F.array(messages())).alias("messages"))
     return checked.where("size(messages) = 0").drop("messages"), checked.where("size(messages) > 0").select("messages", "row")
 
 

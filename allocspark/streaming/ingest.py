@@ -15,9 +15,10 @@ def ingest(spark: SparkSession, source: str, columns: list[str], to: str, checkp
     stream = spark.readStream.schema(schema).options(sep=";", header=True, escape="\\").csv(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        valid, rejects = validated(allocations(df))
-        for name, rows in (("valid", valid), ("rejects", rejects)):
+        typed = allocations(df).persist()  # both writes use it
+        for name, rows in zip(("valid", "rejects"), validated(typed), strict=True):
             rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{to}/{name}")
+        typed.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -23,7 +23,8 @@ def test_rows_and_rejects(spark, tmp_path):
     rows = C.read_rows(spark, str(tmp_path / "a.csv"))
     assert rows.count() == 2 and "ansteckungsfaehig" in rows.columns
     assert {r[0] for r in rows.select(C.row_type(rows)).collect()} == {"ALLOCATION"}
-    valid, rejects = C.validated(C.allocations(rows))
+    C.allocations(rows).write.parquet(str(tmp_path / "typed"))
+    valid, rejects = C.validated(spark.read.parquet(str(tmp_path / "typed")))
     v = valid.first()
     assert (v.dispatch_area, v.gender, v.age, v.transport_type, v.urgency, v.code, v.indication, v.infection, v.schockraum) == ("Testkreis", "F", 74, "G", 1, 123, "Sturz", None, True)
     assert str(v.arrival_at) == "2025-01-07 13:14:00"
