@@ -13,7 +13,7 @@ two equal windows have theirs at the same offset. The steps:
    those of the bytes to the left, windows that occur again follow for each offset.
 4. Fingerprints that occur more than ``hot`` times would fill a bucket: their windows are
    counted by 128-bit digests instead, aggregated before they are shuffled and once for each
-   distinct surrounding in a task.
+   distinct surrounding.
 5. Spans are united for each text and cut out.
 
 Matches never cross documents. Null and empty texts have no bytes. Rows are told apart by
@@ -121,31 +121,19 @@ def merged_runs(runs: DataFrame, buckets: int) -> DataFrame:
     return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SPANS)
 
 
-def hot_windows(aside: DataFrame) -> DataFrame:
-    """kind 0: window digest, surrounding, offset and number; kind 1: a surrounding's place in a row."""
+def hot_surroundings(aside: DataFrame) -> DataFrame:
+    """kind 0: a distinct surrounding of a task with its bytes, offsets and number; kind 1: a surrounding's place in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list] = {}
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            kind, window, around, back, number, keys, place = [], [], [], [], [], [], []
-
-            def batch() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(window, pa.binary()), pa.array(around, pa.binary()), pa.array(back, pa.int32()), pa.array(number, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(place, pa.int64())], ["kind", "wh", "around", "back", "n", "ka", "kb", "place"])
-                for x in (kind, window, around, back, number, keys, place):
-                    x.clear()
-                return out
-
-            for digest, (bytes_, least, most, where) in seen.items():
-                rows = [(0, hashlib.blake2b(bytes_[most - k : most - k + LENGTH], digest_size=16).digest(), digest, k, len(where), (None, None), None) for k in range(least, most + 1)]
-                rows += [(1, None, digest, None, None, key, a) for key, a in where]
-                for row in rows:
-                    for x, v in zip((kind, window, around, back, number, keys, place), row, strict=True):
-                        x.append(v)
-                if len(kind) > 20_000:
-                    yield batch()
-            yield batch()
+            rows = [(0, d, x, least, most, len(where), None, None, None) for d, (x, least, most, where) in seen.items()]
+            rows += [(1, d, None, None, None, None, *key, a) for d, (_, _, _, where) in seen.items() for key, a in where]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "around", "raw", "least", "most", "n", "ka", "kb", "place"])
 
         for key, raw, marks in _marks(batches, True):
             for m in marks:
@@ -159,12 +147,20 @@ def hot_windows(aside: DataFrame) -> DataFrame:
                 seen, n = {}, 0
         yield from flush()
 
-    return aside.mapInArrow(run, "kind int, wh binary, around binary, back int, n long, ka long, kb long, place long")
+    return aside.mapInArrow(run, "kind int, around binary, raw binary, least int, most int, n long, ka long, kb long, place long")
 
 
 def hot_spans(rows: DataFrame) -> DataFrame:
-    """Spans of the hot windows that occur again."""
-    windows = rows.where("kind = 0").select("wh", "around", "back", "n")
+    """Spans of the hot windows that occur again. Equal surroundings are one before their windows are listed."""
+    distinct = rows.where("kind = 0").groupBy("around").agg(F.first("raw").alias("raw"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum("n").alias("n"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(0, batch.num_rows, 256):
+                out = [(hashlib.blake2b(r["raw"][r["most"] - k : r["most"] - k + LENGTH], digest_size=16).digest(), r["around"], k, r["n"]) for r in batch.slice(x, 256).to_pylist() for k in range(r["least"], r["most"] + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.int64()))], ["wh", "around", "back", "n"])
+
+    windows = distinct.mapInArrow(listed, "wh binary, around binary, back int, n long")
     again = windows.groupBy("wh").agg(F.sum("n").alias("n")).where("n > 1").select("wh")
     backs = windows.join(again, "wh", "left_semi").groupBy("around").agg(F.collect_set("back").alias("backs"))
     places = rows.where("kind = 1").select("around", "ka", "kb", "place")
@@ -200,7 +196,7 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     marks = found.join(counts, "fp").groupBy("ka", "kb").agg(F.collect_list(F.struct("fp", "place", "least", "most", "hot")).alias("marks"))
     aside = freed(written(docs.select("ka", "kb", "text").join(marks, ["ka", "kb"]), "repeated-texts"))
     cold = merged_runs(sorted_runs(aside, buckets), buckets)
-    spans = freed(written(cold.unionByName(hot_spans(written(hot_windows(aside), "hot-windows"))), "spans"))
+    spans = freed(written(cold.unionByName(hot_spans(written(hot_surroundings(aside), "hot-surroundings"))), "spans"))
     return cut(aside.drop("marks"), spans)
 
 
