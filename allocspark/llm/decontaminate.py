@@ -52,15 +52,16 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
     return w.groupBy("length", "lead", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def _buckets(known: DataFrame, length: int, slots: int) -> tuple[Column, Column, Column, Column]:
-    """Constant arrays: grams by slot, their lead hashes, their items (comma-joined), and for each slot 4096 * first place + number of grams."""
+def _buckets(known: DataFrame, length: int, slots: int) -> tuple[Column, Column, Column, Column, Column]:
+    """Constant arrays: grams by slot, their lead hashes, their items (comma-joined), and for each slot the first place and the number of grams, however many share it."""
     rows = known.where(F.col("length") == length).select(F.pmod("lead", F.lit(slots)).cast("int").alias("slot"), "gram", "lead", F.array_join("items", ",").alias("items")).collect()
     rows.sort(key=lambda r: (r["slot"], r["gram"]))
-    cells = [0] * slots
+    first, number = [0] * slots, [0] * slots
     for k, r in enumerate(rows):
-        cells[r["slot"]] = (cells[r["slot"]] or 4096 * k) + 1
-    grams, leads, items, firsts = (F.split(F.lit("\n".join(map(str, x))), "\n") for x in ([r["gram"] for r in rows], [r["lead"] for r in rows], [r["items"] for r in rows], cells))
-    return grams, leads.cast("array<long>"), items, firsts.cast("array<long>")
+        first[r["slot"]] = first[r["slot"]] if number[r["slot"]] else k
+        number[r["slot"]] += 1
+    grams, leads, items, firsts, numbers = (F.split(F.lit("\n".join(map(str, x))), "\n") for x in ([r["gram"] for r in rows], [r["lead"] for r in rows], [r["items"] for r in rows], first, number))
+    return grams, leads.cast("array<long>"), items, firsts.cast("array<int>"), numbers.cast("array<int>")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", size: int = WINDOW, most: int = MOST) -> DataFrame:
@@ -80,13 +81,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 def _starts(n: int, slots: int, buckets: tuple, none: Column) -> Column:
     """The hits of windows of n words."""
 
-    grams, leads, items, cells = buckets
+    grams, leads, items, firsts, numbers = buckets
 
     def at(i: Column) -> Column:
-        cell = F.get(cells, F.pmod(_lead(i, n, "_dc_words"), F.lit(slots)).cast("int"))
-        first = F.floor(cell / 4096).cast("int")
-        sure = F.filter(F.sequence(first, first + (cell % 4096).cast("int") - 1), lambda k: (F.get(leads, k) == _lead(i, n, "_dc_words")) & (F.get(grams, k) == _gram(i, n, "_dc_words")))
-        return F.when(cell > 0, F.transform(sure, lambda k: F.struct(i.alias("start"), F.lit(n).alias("length"), F.split(F.get(items, k), ",").alias("items")))).otherwise(none)
+        slot = F.pmod(_lead(i, n, "_dc_words"), F.lit(slots)).cast("int")
+        first, number = F.get(firsts, slot), F.get(numbers, slot)
+        sure = F.filter(F.sequence(first, first + number - 1), lambda k: (F.get(leads, k) == _lead(i, n, "_dc_words")) & (F.get(grams, k) == _gram(i, n, "_dc_words")))
+        return F.when(number > 0, F.transform(sure, lambda k: F.struct(i.alias("start"), F.lit(n).alias("length"), F.split(F.get(items, k), ",").alias("items")))).otherwise(none)
 
     return F.when(F.size("_dc_words") >= n, F.flatten(F.transform(F.sequence(F.lit(0), F.size("_dc_words") - n), at))).otherwise(none)
 

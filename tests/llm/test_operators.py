@@ -130,6 +130,14 @@ def test_windows_by_join_are_the_same(spark, tables):
     assert decontaminate.decontaminate(docs, bench, remove="spans").columns == docs.columns
 
 
+@pytest.mark.parametrize("n", [4096, 5000])
+def test_many_windows_of_one_lead(spark, n):
+    bench = spark.createDataFrame([(i, f"name the capital of place{i}") for i in range(n)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"Now name the capital of place{i}!") for i in (0, 1, 903, 904, n // 2, n - 1, n)], "doc_id bigint, text string")
+    a, b = (sorted((r.doc_id, str(r._dc_hits)) for r in decontaminate.scan(docs, bench, most=m).collect()) for m in (decontaminate.MOST, 0))
+    assert a == b and [(i, h != "[]") for i, h in a] == [(i, i < n) for i, _ in a]
+
+
 def test_statistics_by_brute_force(spark):
     texts = ["a b c a b c d", "x\ny\nx\n \n", "$ # <|> one", "", None, "q " * 60, "ä ö 1 A! " * 15]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
