@@ -7,6 +7,12 @@ each name a licence by a run of identifiers, and what a rule has matched is take
 the sequence before the next one looks. Nothing is shuffled, and the tables of sentences
 and rules are constants of the plan.
 
+A second look is for the genuine notices, which are wrapped over lines and stand in comments:
+lines are joined, and cut again at blank lines (or lines of signs only), sentence ends and
+colons at line ends. NOTICES has the full wording of standard headers and texts; SPDX lines
+name their licences themselves. What this look finds is added to the licences, it changes
+neither n_sentences nor the sequence. The SQL has the first look only.
+
 Null and empty texts have no sentences. Sentences that repeat count each time. Repeated
 rows, null ids and other columns are passed on; columns of the output's names are replaced.
 """
@@ -66,6 +72,53 @@ RULES = (
     ("MPL-2.0", "copyleft", (19,)),
     ("Proprietary", "restricted", (20,)),
 )
+#: Full wordings, as patterns of whole joined sentences (a line break parts two sentences).
+_BSD = r"redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?"
+_NEITHER = r"neither the name of [^\n]+ nor the names of (?:its|any) contributors may be used to endorse or promote products(?: derived from this software without specific prior written permission)?"
+_FREE = r"[^\n]{1,200} is free software you can redistribute it and or modify it under the terms of(?: version {v} of)? the gnu {g}general public license(?: version {v})? as published by the free software foundation"
+_LATER = r"(?: either version {v} of the license)? or at your option any later version"
+_ONLY = r"(?: either| only)?(?: version {v}(?: of the license)?)?"
+
+
+def _gnu(short: str, long: str, v: str, title: str) -> list[tuple[str, str, str]]:
+    free = _FREE.replace("{g}", long)
+    words = v.removesuffix(".0").replace(".", " ")
+    # the version stands before or after the foundation's name, and must stand somewhere
+    later = f"{free}{_LATER}".replace("{v}", words)
+    only = f"{free}{_ONLY}".replace("{v}", words)
+    named = rf"(?=[^\n]* version {words} (?:of|as|or)|[^\n]* version {words}\n)"
+    text = f"gnu {long}general public license version {words} {title}(?: [^\n]*)?"
+    return [(f"{short}-{v}-or-later", "copyleft", f"{named}{later}"), (f"{short}-{v}-only", "copyleft", f"{named}{only}|{text}")]
+
+
+def _creative() -> list[tuple[str, str, str]]:
+    parts = (("BY", "", "permissive"), ("BY-SA", " share ?alike", "copyleft"), ("BY-NC", " non ?commercial", "restricted"), ("BY-ND", " no ?deriv(?:ative)?s", "restricted"), ("BY-NC-SA", " non ?commercial share ?alike", "restricted"), ("BY-NC-ND", " non ?commercial no ?deriv(?:ative)?s", "restricted"))
+    return [(f"CC-{n}-{v}.0", kind, rf"(?:[^\n]{{1,200}} (?:is|are) )?licensed under (?:a|the) creative commons attribution{words} {v} 0(?: international| unported| generic)?(?: public)?(?: license)?(?: (?:http|to view)[^\n]*)?") for n, words, kind in parts for v in (4, 3, 2)]
+
+
+#: Licence, kind, pattern. Single sentences of RULES count here too, so that they may be wrapped.
+NOTICES = (
+    ("Apache-2.0", "permissive", r"licensed under the apache license version 2 0 the license you may not use [^\n]{1,60} except in compliance with the license|apache license version 2 0 january 2004(?: http[^\n]*)?"),
+    ("MIT", "permissive", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("ISC", "permissive", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSD-3-Clause", "permissive", _NEITHER),
+    ("BSD-2-Clause", "permissive", _BSD),
+    *_gnu("GPL", "", "3.0", "29 june 2007"), *_gnu("GPL", "", "2.0", "june 1991"),
+    *_gnu("LGPL", "lesser ", "3.0", "29 june 2007"), *_gnu("LGPL", "lesser ", "2.1", "february 1999"),
+    *_gnu("AGPL", "affero ", "3.0", "19 november 2007"),
+    ("MPL-2.0", "copyleft", r"this source code form is subject to the terms of the mozilla public license v(?:ersion)?[\n ]2 0|mozilla public license version 2 0"),
+    ("Unlicense", "permissive", r"this is free and unencumbered software released into the public domain"),
+    ("CC0-1.0", "permissive", r"to the extent possible under law [^\n]{1,200} waived all copyright and related or neighboring rights to [^\n]+|[^\n]{1,200} is (?:marked with|licensed under) cc0 1 0(?: universal)?"),
+    *_creative(),
+    *((name, kind, SENTENCES[numbers[0]]) for name, kind, numbers in RULES if len(numbers) == 1 and name not in ("BSD-2-Clause", "Proprietary")),
+)
+#: Beside these grants "all rights reserved" is part of the notice.
+GRANTS = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0")
+HINT = "licen[sc]e|permission|redistribution|public domain|copyright|cc0"
+#: Kinds of identifiers on SPDX lines; those not listed are restricted, as nobody has read their terms.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+SPDX_PERMISSIVE = r"(Apache|MIT|BSD|ISC|Zlib|BSL|CC0|CC-BY-[0-9]|Unlicense|0BSD|PSF|Python|PostgreSQL|NCSA|X11|WTFPL|Artistic-2).*"
+SPDX_COPYLEFT = r"(GPL|LGPL|AGPL|MPL|EPL|EUPL|CDDL|CC-BY-SA|OSL|CECILL).*"
 #: What counts most when a text has several licences.
 ORDER = ("restricted", "copyleft", "permissive")
 END = r"[.!?]+([ \t\r\n]|\z)"
@@ -84,6 +137,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(flat, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def joined(text: Column) -> Column:
+    """The normalised sentences of joined lines, each between line breaks."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?]+(?=[ \t\r\n]|\z)|:[ \t\r]*(?=\n)|\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n", "\x01")
+    flat = F.regexp_replace(F.translate(cut, UPPER, LOWER), r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.concat(F.lit("\n"), F.regexp_replace(flat, r" *\x01[ \x01]*", "\n"), F.lit("\n"))
+
+
+def notices(flat: Column, text: Column) -> Column:
+    """(name, kind) of the notices of joined sentences and of the SPDX lines of a text."""
+    kind = "array<struct<name string, kind string>>"
+    said = lambda pattern: flat.rlike(rf"\n *(?:{pattern}) *\n")
+    found = [F.when(said(p) & (~said(_NEITHER) if p == _BSD else said(_BSD) if p == _NEITHER else F.lit(True)), F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"))) for n, k, p in NOTICES]
+    plain = lambda line: F.regexp_replace(F.regexp_replace(line, r"\*/.*|-->.*", ""), r"(?i)\bWITH[ \t]+[A-Za-z0-9.-]+", "")
+    ids = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), lambda x: F.filter(F.regexp_extract_all(plain(x), F.lit(r"([A-Za-z0-9][A-Za-z0-9.+-]*)"), F.lit(1)), lambda y: ~F.upper(y).isin("AND", "OR", "WITH"))))
+    spdx = F.transform(ids, lambda y: F.struct(y.alias("name"), F.when(y.rlike(f"^{SPDX_COPYLEFT}"), "copyleft").when(y.rlike(f"^{SPDX_PERMISSIVE}"), "permissive").otherwise("restricted").alias("kind")))
+    none = F.array().cast(kind)
+    return F.concat(F.when(flat.rlike(HINT), F.array_compact(F.array(*found)).cast(kind)).otherwise(none), F.when(F.contains(flat, F.lit("spdx license identifier")), F.coalesce(spdx.cast(kind), none)).otherwise(none))
+
+
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_sentences, sequence (identifiers in order), licenses (comma-joined, in the rules' order) and license_kind."""
     known = F.array(*[F.lit(s) for s in SENTENCES])
@@ -97,8 +169,14 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         kinds.append(F.when(hit, F.lit(kind)))
         rest = F.replace(rest, F.lit(_mark(numbers)), F.lit("-"))
     matched = once(rows, "_found", F.when(F.col("sequence") == "", F.struct(F.array().cast("array<string>").alias("n"), F.array().cast("array<string>").alias("k"))).otherwise(F.struct(F.array_distinct(F.array_compact(F.array(*names))).alias("n"), F.array_distinct(F.array_compact(F.array(*kinds))).alias("k"))))
-    kind = F.coalesce(*[F.when(F.array_contains("_found.k", k), F.lit(k)) for k in ORDER], F.lit("none"))
-    return matched.select(*[c for c in df.columns if c not in ("n_sentences", "sequence", "licenses", "license_kind")], F.size("_sentences").cast("long").alias("n_sentences"), "sequence", F.array_join("_found.n", ",").alias("licenses"), kind.alias("license_kind"))
+    matched = once(matched, "_flat", joined(F.col(text)))
+    matched = once(matched, "_notices", notices(F.col("_flat"), F.col(text)))
+    # a granted text's "all rights reserved" says nothing about its licence
+    granted = F.exists("_notices", lambda x: x["name"].isin(*GRANTS)) & F.col("_flat").rlike(rf"\n *(?:{NOTICES[0][2]}|{NOTICES[1][2]}|{NOTICES[2][2]}|{_BSD}) *\n")
+    names = F.array_distinct(F.concat(F.when(granted, F.array_remove("_found.n", "Proprietary")).otherwise(F.col("_found.n")), F.col("_notices.name")))
+    kinds = F.concat(F.when(granted & F.array_contains("_found.n", "Proprietary") & ~F.exists("_found.n", lambda x: x.rlike("^CC-BY-N")), F.array_remove("_found.k", "restricted")).otherwise(F.col("_found.k")), F.col("_notices.kind"))
+    kind = F.coalesce(*[F.when(F.array_contains(kinds, k), F.lit(k)) for k in ORDER], F.lit("none"))
+    return matched.select(*[c for c in df.columns if c not in ("n_sentences", "sequence", "licenses", "license_kind")], F.size("_sentences").cast("long").alias("n_sentences"), "sequence", F.array_join(names, ",").alias("licenses"), kind.alias("license_kind"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

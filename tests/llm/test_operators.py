@@ -168,6 +168,64 @@ def test_licenses(spark):
     assert (r.licenses, r.license_kind, r.n_sentences) == ("MIT,CC-BY-NC-4.0", "restricted", 4)
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+"""
+NAMES = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful.
+"""
+ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file
+"""
+GENUINE = [
+    (APACHE, "Apache-2.0", "permissive"), (MIT, "MIT", "permissive"), (BSD, "BSD-2-Clause", "permissive"), (BSD + NAMES, "BSD-3-Clause", "permissive"), (GPL, "GPL-3.0-or-later", "copyleft"), (ONLY, "GPL-2.0-only", "copyleft"), (MPL, "MPL-2.0", "copyleft"),
+    (GPL.replace("GNU", "GNU Affero"), "AGPL-3.0-or-later", "copyleft"), (GPL.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"), "LGPL-2.1-or-later", "copyleft"),
+    ("This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0", "restricted"), ("SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)", "MIT,GPL-2.0-only", "copyleft"),
+    ("Permission is hereby granted to smoke.\nThe Apache License is one of many licenses.", "", "none"), (GPL.replace("version 3 of", "any version of"), "", "none"),
+]
+
+
+def test_genuine_notices(spark):
+    shapes = (lambda t: t, lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.splitlines()) + " */\nint x;\n", lambda t: "\r\n".join(f"# {x}".rstrip() for x in t.splitlines()) + "\r\n\r\nimport x\r\n", lambda t: "".join(f"// {x}\n" for x in t.splitlines()))
+    docs = spark.createDataFrame([(i, k, f(t)) for i, (t, _, _) in enumerate(GENUINE) for k, f in enumerate(shapes)], "doc_id int, shape int, text string")
+    got = {(r.doc_id, r.shape): (r.licenses, r.license_kind) for r in licenses.scan(docs).collect()}
+    assert got == {(i, k): (n, kind) for i, (_, n, kind) in enumerate(GENUINE) for k in range(len(shapes))}
+
+
 def test_masking(spark):
     r = secret_scan.masked(spark.createDataFrame([(TEXTS[6],), (None,)], "text string")).collect()
     assert r[0].text == "[SECRET]\"" and r[1].text is None
