@@ -2,8 +2,10 @@ r"""Secret scans (operator 8): fixed patterns, and a character convolutional net
 
 Three kinds of patterns give the base spans: assignments to a password-like name, access
 keys that begin with AKIA, and runs of 24 or more hexadecimal digits. Every other run of 16
-or more token characters that is not a plain word is a candidate; the network sees its
-characters and those around it and adds the spans whose probability reaches a threshold.
+or more token characters (or what base spans leave of it) that is not a plain word is a
+candidate; the network sees its characters and those around it and adds the spans whose
+probability reaches a threshold. A candidate too long for one look is also seen part by part,
+overlapping from end to end, and its highest probability counts.
 
 The network is small and lives in numpy: characters are embedded, two widths of
 convolution are max-pooled over the candidate and its surroundings, one dense layer gives a
@@ -40,7 +42,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that are long enough
 KINDS = ("assign", "access", "hex", "net")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 WORDLIKE = re.compile(r"[A-Za-z]?[a-z]*[.=-]*|[A-Z]+[.=-]*")
-BEFORE, INSIDE, AFTER = 20, 40, 8
+BEFORE, INSIDE, AFTER, LEAST = 20, 40, 8, 16
 RECALL = 0.97
 
 
@@ -56,19 +58,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters that hold more than a word and no base span."""
+    """Runs of token characters, without their base spans, that hold more than a word."""
     out, k = [], 0
     for m in CANDIDATE.finditer(text):
-        if WORDLIKE.fullmatch(m[0]):
-            continue
         a, z = m.span()
         while k < len(base) and base[k][2] <= a:
             k += 1
-        if not any(b[0] < z and b[2] > a for b in base[max(0, k - 2) :][:6]):
-            out.append((a, z))
+        parts, j = [], k
+        while j < len(base) and base[j][0] < z:
+            parts.append((a, base[j][0]))
+            a, j = max(a, base[j][2]), j + 1
+        out += [(b, e) for b, e in (*parts, (a, z)) if e - b >= LEAST and not WORDLIKE.fullmatch(text, b, e)]
     return out
 
 
+def views(a: int, z: int) -> list[tuple[int, int]]:
+    """What the network is shown of a candidate: all of it, and overlapping parts of a long one from end to end."""
+    return [(a, z), *((b, min(z, b + INSIDE)) for b in range(a, z - INSIDE // 2, INSIDE // 2) if z - a > INSIDE)]
+
+
 def window(text: str, a: int, z: int) -> np.ndarray:
     """Codes of the characters before, in (its two ends, if it is long) and after a candidate."""
     token = text[a:z] if z - a <= INSIDE else text[a : a + INSIDE // 2] + text[z - INSIDE // 2 : z]
@@ -191,13 +199,14 @@ def trained(n: int = 6000, seed: int = 7, recall: float = RECALL) -> Network:
 def scan_texts(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """All spans of each text: (start, rank of kind, end)."""
     found = [base_spans(t) for t in texts]
-    places = [(i, a, z) for i, t in enumerate(texts) for a, z in candidates(t, found[i])]
+    places = [(i, a, z, b, e) for i, t in enumerate(texts) for a, z in candidates(t, found[i]) for b, e in views(a, z)]
+    hits = set()
     for k in range(0, len(places), 4096):
         part = places[k : k + 4096]
-        p = net.probabilities(np.stack([window(texts[i], a, z) for i, a, z in part]))
-        for (i, a, z), hit in zip(part, p >= net.threshold, strict=True):
-            if hit:
-                found[i].append((a, 3, z))
+        p = net.probabilities(np.stack([window(texts[i], b, e) for i, _, _, b, e in part]))
+        hits |= {x[:3] for x, hit in zip(part, p >= net.threshold, strict=True) if hit}
+    for i, a, z in hits:
+        found[i].append((a, 3, z))
     return [sorted(f) for f in found]
 
 

@@ -226,6 +226,17 @@ def test_genuine_notices(spark):
     assert got == {(i, k): (n, kind) for i, (_, n, kind) in enumerate(GENUINE) for k in range(len(shapes))}
 
 
+def test_secrets_within_long_runs():
+    key, hexa = "ghp_x7Kq2ZbV9mT4wLr8YsN1cJd5Hf3Gp6Ae0UiQ", "0123456789abcdef01234567"
+    net = secret_scan.trained()
+    for t in (f"see download.example.com/files/releases/{key}/archive/latest/documents/index.html here", f"see {hexa}/{key} here", f"see {key}/{hexa} here"):
+        at = t.index(key)
+        assert any(k == 3 and a <= at and e >= at + len(key) for a, k, e in secret_scan.scan_texts([t], net)[0]), t
+    for n in range(1, 300):
+        seen = secret_scan.views(5, 5 + n)[1:] or [(5, 5 + n)]
+        assert seen[0][0] == 5 and seen[-1][1] == 5 + n and all(e - b <= secret_scan.INSIDE for b, e in seen) and all(x[1] - y[0] >= 20 for x, y in zip(seen, seen[1:]))
+
+
 def test_masking(spark):
     r = secret_scan.masked(spark.createDataFrame([(TEXTS[6],), (None,)], "text string")).collect()
     assert r[0].text == "[SECRET]\"" and r[1].text is None
