@@ -70,9 +70,9 @@ def only_in_import(spark: SparkSession, d: str) -> DataFrame:
     return facts(spark, d).groupBy("hospital_id", "dispatch_area_id").agg(F.min("import_id").alias("a"), F.max("import_id").alias("z")).where("a = z").select("hospital_id", "dispatch_area_id", F.col("a").alias("import_id"))
 
 
-def kpi_daily(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each day and hospital of one month, and one for all hospitals of a day, from one pass."""
-    rows = facts(spark, d).where("created_year = 1997 AND created_month = 3").withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+def kpi_daily(spark: SparkSession, d: str, within: str = "TRUE") -> DataFrame:
+    """A row for each day and hospital, and one for all hospitals of a day, from one pass; of all days, or of a range."""
+    rows = facts(spark, d).where(within).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
     out = rows.groupingSets([["day", "hospital_id"], ["day"]], "day", "hospital_id").agg(F.count(F.lit(1)).alias("n"), F.expr("count(CASE WHEN department_was_closed THEN 1 END)").alias("closed"))
     return out
 
@@ -149,7 +149,8 @@ QUERIES: dict[str, Pair] = {
     "dedup_report": (dedup_report, DEDUP),
     "dedup_kept": (lambda s, d: deduplicated(_repeated(s, d)).groupBy("import_id").agg(F.count(F.lit(1)).alias("n")), DEDUP[: DEDUP.rindex("SELECT import_id")] + "SELECT import_id, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1"),
     "single_import_hospitals": (only_in_import, duck_with() + "SELECT hospital_id, dispatch_area_id, min(import_id) AS import_id FROM fact GROUP BY 1, 2 HAVING min(import_id) = max(import_id)"),
-    "kpi_daily": (kpi_daily, duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact WHERE created_year = 1997 AND created_month = 3)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
+    "kpi_daily": (lambda s, d: kpi_daily(s, d, "created_year = 1997 AND created_month = 3"), duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact WHERE created_year = 1997 AND created_month = 3)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
+    "kpi_daily_all": (kpi_daily, duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
     "quality_volume": (volume_histogram, duck_with("n AS (SELECT hospital_id, count(*) AS n FROM fact WHERE created_year = 1997 GROUP BY 1)") + "SELECT CASE WHEN n >= 250 THEN '250_plus' WHEN n >= 100 THEN '100_249' WHEN n >= 25 THEN '25_99' ELSE '0_24' END AS bucket, count(*) AS n_hospitals, count(CASE WHEN n >= 100 THEN 1 END) AS enough, CAST(sum(n) AS BIGINT) AS n_rows FROM n GROUP BY 1"),
     "quality_representativeness": (representativeness, duck_with(f"h AS ({_H})", "l AS (SELECT 'tier' AS dimension, tier AS key, participating FROM h UNION ALL SELECT 'location', coalesce(loc, 'unknown'), participating FROM h UNION ALL SELECT 'size', coalesce(size, 'unknown'), participating FROM h UNION ALL SELECT 'state', state_name, participating FROM h)", "c AS (SELECT dimension, key, count(*) AS n, count(CASE WHEN participating THEN 1 END) AS p FROM l GROUP BY 1, 2)", "t AS (SELECT dimension, abs(p::DOUBLE / sum(p) OVER (PARTITION BY dimension) - n::DOUBLE / sum(n) OVER (PARTITION BY dimension)) AS delta FROM c)", "q AS (SELECT dimension, round(sum(delta) / 2, 6) AS distance FROM t GROUP BY 1)") + "SELECT *, CASE WHEN distance <= 0.10 THEN 'high' WHEN distance <= 0.25 THEN 'medium' ELSE 'low' END AS level FROM q"),
     "quality_subgroups": (subgroup_support, duck_with(f"h AS ({_H})") + "SELECT size, tier, count(*) AS population, count(CASE WHEN participating THEN 1 END) AS participants, count(CASE WHEN participating THEN 1 END) >= least(5, count(*)) AS supported FROM h GROUP BY 1, 2"),

@@ -83,13 +83,14 @@ def time_to_target(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("users"), F.expr("round(percentile(timestampdiff(SECOND, first, target) / 86400D, 0.5), 1)").alias("median_days"))
 
 
-def daily(spark: SparkSession, d: str) -> DataFrame:
-    """A dense series of days: requests and the running total of seven days, zero where nothing happened."""
+def daily(spark: SparkSession, d: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A dense series of days: requests and the running total of seven days (those before the first day count), zero where nothing happened. Without a range, from the first event's day to the last one's."""
     counts = log(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    spine = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-30')) AS day")
-    dense = spine.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    ends = counts.agg(F.coalesce(F.lit(first).cast("date"), F.min("day")).alias("a"), F.coalesce(F.lit(last).cast("date"), F.max("day")).alias("z")).where("a <= z")
+    spine = ends.select("a", F.explode(F.sequence(F.date_sub("a", 6), "z")).alias("day"))
+    dense = spine.join(counts, "day", "left").select("a", "day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     week = Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(-6, 0)
-    return dense.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.sum("n").over(week).alias("week"))
+    return dense.withColumn("week", F.sum("n").over(week)).where("day >= a").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "week")
 
 
 QUERIES: dict[str, Pair] = {

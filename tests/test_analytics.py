@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allocspark import catalog
-from allocspark.operators import maintenance
+from allocspark.operators import maintenance, usage
 from allocspark.plans import analysis
 from allocspark.plans.spec import Analysis, Period, Scope
 from allocspark.sources import binding
@@ -100,3 +100,18 @@ def test_facts_are_replaced_by_import(spark, tmp_path):
     maintenance.write_facts(b, path)
     assert spark.read.parquet(path).count() == 2
     assert maintenance.unseen_hospitals(a, spark.read.parquet(path)).count() == 0
+
+
+def test_daily_figures_of_all_days(spark, tmp_path):
+    total = binding.facts(spark, SF).count()
+    got = maintenance.kpi_daily(spark, SF)
+    assert got.where("hospital_id IS NULL").agg(F.sum("n")).first()[0] == total > maintenance.kpi_daily(spark, SF, "created_year = 1997").where("hospital_id IS NULL").agg(F.sum("n")).first()[0]
+    days = [dt.datetime(2025, 12, 28, 5), dt.datetime(2025, 12, 28, 6), dt.datetime(2026, 1, 2)]
+    spark.createDataFrame([(i, 1, t, "view", 1.0, "{}") for i, t in enumerate(days)], "event_id bigint, user_id bigint, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in usage.daily(spark, str(tmp_path)).orderBy("day").collect()] == [("2025-12-28", 2, 2), ("2025-12-29", 0, 2), ("2025-12-30", 0, 2), ("2025-12-31", 0, 2), ("2026-01-01", 0, 2), ("2026-01-02", 1, 3)]
+    assert [tuple(r) for r in usage.daily(spark, str(tmp_path), "2026-01-02", "2026-01-04").orderBy("day").collect()] == [("2026-01-02", 1, 3), ("2026-01-03", 0, 3), ("2026-01-04", 0, 1)]
+
+
+@pytest.mark.parametrize("name", ["usage_daily", "kpi_daily_all"])
+def test_daily_as_duckdb(spark, name):
+    test_same_as_duckdb(spark, name)
