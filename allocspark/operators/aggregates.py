@@ -83,6 +83,7 @@ DAY = series("date_format(created_at, 'yyyy-MM-dd')", "strftime(created_at, '%Y-
 CAL = series("concat('cal-', lpad(CAST(created_month AS STRING), 2, '0'))", "concat('cal-', lpad(CAST(created_month AS STRING), 2, '0'))")
 PRIMARY = "created_year = 1997 AND hospital_id % 2 = 0"
 COMPARISON = "created_year = 1996"
+SCOPE = "hospital_id IN (1, 2, 3)"
 INDICATION, OTHER = "indication_id IN (3, 4, 5)", "(indication_id IS NULL OR indication_id NOT IN (3, 4, 5))"
 SIDE_A, SIDE_B = "indication_id = 7", "indication_id = 8"
 CASES = {"cases": "count(*)", "n_hospitals": "count(DISTINCT hospital_id)"}
@@ -94,6 +95,7 @@ def _named(code: str, names: dict[int, str]) -> str:
 
 QUERIES: dict[str, Pair] = {
     "overview_metrics": aggregate(headline() | age_counts() | middles(), where="hospital_id % 3 = 1"),
+    "overview_metrics_platform": aggregate(headline() | age_counts() | middles() | headline(SCOPE, "scope_") | age_counts(SCOPE, "scope_") | middles(SCOPE, "scope_")),
     "overview_summary": aggregate({"total": "count(*)", **{k: count(c) for k, c in CLINICAL.items()}}),
     "overview_scoped_totals": aggregate({"platform": "count(*)", "scoped": count("hospital_id IN (1, 2, 3)")}),
     "overview_gender": aggregate({"n": "count(*)"}, {"gender": S.coded("gender_code", S.GENDER)}, "gender_code IS NOT NULL"),

@@ -112,6 +112,12 @@ def test_daily_figures_of_all_days(spark, tmp_path):
     assert [tuple(r) for r in usage.daily(spark, str(tmp_path), "2026-01-02", "2026-01-04").orderBy("day").collect()] == [("2026-01-02", 1, 3), ("2026-01-03", 0, 3), ("2026-01-04", 0, 1)]
 
 
-@pytest.mark.parametrize("name", ["usage_daily", "kpi_daily_all"])
+def test_overview_of_all_hospitals(spark):
+    f = binding.facts(spark, SF)
+    r = catalog.queries()["overview_metrics_platform"](spark, SF).first()
+    assert (r.total, r.scope_total) == (f.count(), f.where("hospital_id IN (1, 2, 3)").count())
+
+
+@pytest.mark.parametrize("name", ["usage_daily", "kpi_daily_all", "overview_metrics_platform"])
 def test_daily_as_duckdb(spark, name):
     test_same_as_duckdb(spark, name)
