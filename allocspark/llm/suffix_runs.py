@@ -7,7 +7,6 @@ the window that starts ``l`` bytes before the anchor is the record's own.
 
 from __future__ import annotations
 
-import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,18 +18,19 @@ LENGTH, KMER = 200, 32
 SPAN = LENGTH - KMER + 1
 
 
-def anchors(raw: list[bytes]) -> list[tuple[np.ndarray, ...]]:
-    """For each text: place, least and largest l, and fingerprint of each anchor.
+def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text number, place (in all texts laid end to end), least and largest l, fingerprint, and a hash of the surroundings, of each anchor.
 
     A window's anchor is the k-mer of least hash in it, the leftmost of equal ones: it
     depends on the window's bytes alone, so equal windows have their anchors at the same l.
+    An anchor's surroundings are the bytes that its windows cover together.
     """
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(sizes)
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < LENGTH:
-        return [none] * len(raw)
+        return none
     power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
     n = len(data) - KMER + 1
@@ -48,15 +48,30 @@ def anchors(raw: list[bytes]) -> list[tuple[np.ndarray, ...]]:
     fits = start + LENGTH <= ends[doc]
     start, at, doc = start[fits], at[fits], doc[fits]
     if not len(start):
-        return [none] * len(raw)
+        return none
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.append(first[1:], len(start)) - 1
     place, of = at[first], doc[first]
     most, least = place - start[first], place - start[last]
-    cuts = np.searchsorted(of, np.arange(len(raw) + 1))
-    base = ends - sizes
-    fp = h[place].view(np.int64)
-    return [(place[a:z] - base[i], least[a:z], most[a:z], fp[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    a, z = place - most, place - least + LENGTH
+    around = mix((sums[z] - sums[a]) * inverse[a]) + least.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + most.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    return of, place, least, most, h[place], mix(around)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes."""
+    head = [len(arrays).to_bytes(1, "little"), *(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") for a in arrays)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*head, *(a.tobytes() for a in arrays)]))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 1 + 12 * raw[0], []
+    for k in range(raw[0]):
+        head = raw[1 + 12 * k : 13 + 12 * k]
+        out.append(np.frombuffer(raw, head[:4].decode().strip(), int.from_bytes(head[4:], "little"), at))
+        at += out[-1].nbytes
+    return out
 
 
 @dataclass
@@ -66,10 +81,9 @@ class Records:
     least: np.ndarray
     most: np.ndarray
     place: np.ndarray
-    keys: np.ndarray  # two numbers of the text's row
 
     def taken(self, order) -> Records:
-        return Records([self.right[i] for i in order], [self.left[i] for i in order], self.least[order], self.most[order], self.place[order], self.keys[order])
+        return Records([self.right[i] for i in order], [self.left[i] for i in order], self.least[order], self.most[order], self.place[order])
 
 
 def matrix(strings: list[bytes], width: int) -> np.ndarray:
@@ -84,43 +98,35 @@ def neighbours(m: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.where(differs.any(axis=1), differs.argmax(axis=1), m.shape[1])))
 
 
-def coded(records: Records) -> bytes:
-    """A sorted run: each suffix as the length it shares with the one before and its other bytes."""
-    records = records.taken(sorted(range(len(records.right)), key=records.right.__getitem__))
-    lens = np.fromiter(map(len, records.right), np.int64, len(records.right))
-    shared = neighbours(matrix(records.right, LENGTH))
+def _front(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """What each string shares with the one before, its length, and the other bytes of all."""
+    lens = np.fromiter(map(len, strings), np.int64, len(strings))
+    shared = neighbours(matrix(strings, width))
     shared[1:] = np.minimum(shared[1:], np.minimum(lens[1:], lens[:-1]))
-    out = io.BytesIO()
-    left_lens = np.fromiter(map(len, records.left), np.int64, len(records.left))
-    parts = [shared.astype(np.uint8), lens.astype(np.uint8), left_lens.astype(np.uint8), records.least.astype(np.uint8), records.most.astype(np.uint8), records.place.astype("<i8"), records.keys.astype("<i8")]
-    out.write(len(lens).to_bytes(8, "little"))
-    for p in parts:
-        out.write(p.tobytes())
-    out.write(b"".join(x[c:] for x, c in zip(records.right, shared.tolist(), strict=True)))
-    out.write(b"".join(records.left))
-    return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
+    return shared.astype(np.uint8), lens.astype(np.uint8), b"".join(x[c:] for x, c in zip(strings, shared.tolist(), strict=True))
 
 
-def opened(run: bytes) -> tuple[Records, list[int]]:
-    """A run's records and the lengths that neighbours share."""
-    data = zstandard.ZstdDecompressor().decompress(run)
-    n, at = int.from_bytes(data[:8], "little"), 8
-    columns = []
-    for kind, width in (("u1", 1),) * 5 + (("<i8", 1), ("<i8", 2)):
-        a = np.frombuffer(data, kind, n * width, at)
-        at += a.nbytes
-        columns.append(a.astype(np.int64))
-    shared, lens, left_lens, least, most, place, keys = columns
-    right, before = [], b""
+def _unfronted(shared: np.ndarray, lens: np.ndarray, rest: bytes) -> list[bytes]:
+    out, before, at = [], b"", 0
     for c, size in zip(shared.tolist(), lens.tolist(), strict=True):
-        before = before[:c] + data[at : at + size - c]
+        before = before[:c] + rest[at : at + size - c]
         at += size - c
-        right.append(before)
-    left = []
-    for size in left_lens.tolist():
-        left.append(data[at : at + size])
-        at += size
-    return Records(right, left, least, most, place, keys.reshape(-1, 2)), shared.tolist()
+        out.append(before)
+    return out
+
+
+def coded(records: Records) -> bytes:
+    """A sorted run: of each suffix, and of the bytes left of it, the length shared with the one before and the other bytes."""
+    records = records.taken(sorted(range(len(records.right)), key=lambda i: (records.right[i], records.left[i])))
+    sides = (_front(records.right, LENGTH), _front(records.left, SPAN))
+    return packed(*(np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for side in sides for x in side), records.least.astype(np.uint8), records.most.astype(np.uint8), records.place.astype("<i8"))
+
+
+def opened(run: bytes) -> tuple[Records, list[int]]:
+    """A run's records and the lengths that neighbours share."""
+    shared, lens, rest, left_shared, left_lens, left_rest, least, most, place = unpacked(run)
+    right, left = _unfronted(shared, lens, rest.tobytes()), _unfronted(left_shared, left_lens, left_rest.tobytes())
+    return Records(right, left, least.astype(np.int64), most.astype(np.int64), place), shared.tolist()
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -193,13 +199,14 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, i
 
 
 def repeats(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row keys, start and end of the bytes covered by windows that occur more than once in these runs. All records of a k-mer must be in them."""
+    """Number of the run, start and end of the bytes covered by windows that occur more than once in these runs. All records of a k-mer must be in them."""
     found = [opened(r) for r in runs]
     order, lengths = merged([(r.right, shared) for r, shared in found])
     base = np.concatenate(([0], np.cumsum([len(r.right) for r, _ in found]))).astype(np.int64)
     index = np.array([base[r] + i for r, i in order], np.int64)
     join = lambda name: np.concatenate([getattr(r, name) for r, _ in found])[index]
-    least, most, place, keys = (join(n) for n in ("least", "most", "place", "keys"))
+    least, most, place = (join(n) for n in ("least", "most", "place"))
+    run = np.array([r for r, _ in order], np.int64)
     left = [s for r, _ in found for s in r.left]
     behind = matrix([left[i] for i in index.tolist()], SPAN)
     n = len(index)
@@ -222,4 +229,4 @@ def repeats(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.diff(hit.astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)  # runs of one row end in the order that they begin
-    return keys[row], place[row] - (end - 1), place[row] - first + LENGTH
+    return run[row], place[row] - (end - 1), place[row] - first + LENGTH

@@ -107,16 +107,17 @@ def test_repeats_as_brute_force(seed):
     passages = [some(r.randint(150, 450)) for _ in range(4)]
     raw = [b"".join(r.choice((some(r.randint(0, 120)), p := r.choice(passages), p[r.randint(0, 40) :], b"x" * r.randint(1, 500))) for _ in range(r.randint(0, 5))) for _ in range(20)] + [b"", b"ab" * 250]
     raw.append(raw[0])
+    flat, ends = b"".join(raw), np.cumsum([len(t) for t in raw])
     held = {}
-    for i, found in enumerate(suffix_runs.anchors(raw)):
-        for a, low, high, fp in zip(*(x.tolist() for x in found), strict=True):
-            held.setdefault((fp % 2, i % 3), []).append((i, a, low, high))
-    cover = [bytearray(len(t)) for t in raw]
+    for i, a, low, high, fp, _ in zip(*(x.tolist() for x in suffix_runs.anchors(raw)), strict=True):
+        held.setdefault((fp % 2, i % 3), []).append((a, low, high))
+    cover = bytearray(len(flat))
     for bucket in (0, 1):
-        runs = [suffix_runs.coded(suffix_runs.Records([raw[i][a : a + 200 - low] for i, a, low, _ in x], [raw[i][a - high : a][::-1] for i, a, _, high in x], *(np.array([y[k] for y in x]) for k in (2, 3, 1)), np.array([[y[0], 0] for y in x]))) for (b, _), x in held.items() if b == bucket]
+        runs = [suffix_runs.coded(suffix_runs.Records([flat[a : a + 200 - low] for a, low, _ in x], [flat[a - high : a][::-1] for a, _, high in x], *(np.array([y[k] for y in x]) for k in (1, 2, 0)))) for (b, _), x in held.items() if b == bucket]
         if runs:
-            for (i, _), s, e in zip(*(x.tolist() for x in suffix_runs.repeats(runs)), strict=True):
-                cover[i][s:e] = b"\1" * (e - s)
+            for _, s, e in zip(*(x.tolist() for x in suffix_runs.repeats(runs)), strict=True):
+                cover[s:e] = b"\1" * (e - s)
+    cover = [bytes(cover[e - len(t) : e]) for t, e in zip(raw, ends.tolist(), strict=True)]
     assert [bytes(c) for c in cover] == removed(raw)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -98,17 +100,41 @@ def test_near_copies(spark, sparse):
     assert [got[i] for i in range(len(texts))] == near(texts)
 
 
-def test_passages(spark):
+def passages():
+    """Texts that share passages in every way: borders at many places, periods, copies."""
+    r = random.Random(11)
+    some = lambda n: "".join(r.choices("abcdefgh é", k=n))
     p = LONG[:700]
-    texts = [p, "start " + p[100:600] + " end", "nothing here", p[:150], None, "x" * 450, p]
+    shared = [some(r.randint(190, 500)) for _ in range(3)]
+    mixed = [some(r.randint(0, 90)) + (x := r.choice(shared))[r.randint(0, 60) :] + some(r.randint(0, 90)) + x[: r.randint(150, 500)] for _ in range(60)]
+    return [p, "start " + p[100:600] + " end", "nothing here", p[:150], None, "x" * 450, p, "ab" * 300, *mixed, *([shared[0] * 2] * 50)]
+
+
+@pytest.mark.parametrize("more", [{}, {"chunk": 1}, {"chunk": 9000, "crowd": 2}, {"chunk": 500, "bound": 3}, {"crowd": 0}])
+def test_passages(spark, more):
+    texts = passages()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     raw = [(t or "").encode() for t in texts]
     c = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
-    for hot in (1000, 1):
-        for r in suffix_dedup.deduplicated(docs, hot=hot).collect():
-            t = raw[r.doc_id]
-            gone = {j for i in range(len(t) - 199) if c[t[i : i + 200]] > 1 for j in range(i, i + 200)}
-            assert bytes(r.kept) == bytes(b for i, b in enumerate(t) if i not in gone)
+    got = suffix_dedup.deduplicated(docs, **more).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = raw[r.doc_id]
+        gone = {j for i in range(len(t) - 199) if c[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        assert bytes(r.kept) == bytes(b for i, b in enumerate(t) if i not in gone), r.doc_id
+
+
+def test_digests_of_passages(spark, tmp_path):
+    texts = passages()
+    raw = [(t or "").encode() for t in texts]
+    c = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(raw):
+        gone = sorted({j for k in range(len(t) - 199) if c[t[k : k + 200]] > 1 for j in range(k, k + 200)})
+        runs = sum(1 for a, b in zip([-2, *gone], gone) if b - a > 1)
+        want.add((i, len(t), len(gone), runs, hashlib.sha256(bytes(b for j, b in enumerate(t) if j not in set(gone))).hexdigest()))
+    assert set(map(tuple, suffix_dedup.query(spark, str(tmp_path)).collect())) == want
 
 
 @pytest.mark.parametrize("name", ["op2_neardup", "op3_licenses", "op7_decontaminate"])
