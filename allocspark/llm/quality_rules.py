@@ -8,7 +8,9 @@ list comes back as one ordered Spark conditional expression.
 
 Words are runs of [^\x20\x09-\x0D]; null and empty texts have none. A document of fewer than
 50 words, or with more than half of its words in repeated 3-word windows, fails whatever the
-rules say. Null labels are not looked at; without labels only those two limits hold.
+rules say. Null labels are not looked at, of several labels of a doc_id the least counts, of
+several texts of a doc_id rules are learned from the least; without labels only those two
+limits hold.
 Repeated rows and other columns pass through.
 """
 
@@ -152,8 +154,9 @@ def learn(x: np.ndarray, bad: np.ndarray, precision: float = PRECISION, support:
 
 def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
     """Rules from the labelled documents of least hash, ``sample`` of them at most."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label")).orderBy(F.xxhash64("_key"), "_label").limit(sample)
-    rows = statistics(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")).select("_key", "_label", "base_failed", "_stats.*").collect()
+    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").groupBy("_key", "_label").agg(F.min("text").alias("text"))
+    rows = statistics(texts).select("_key", "_label", "base_failed", "_stats.*").collect()
     rows = [r for r in rows if not r["base_failed"]]
     rows.sort(key=lambda r: (r["_key"], r["_label"]))
     x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))

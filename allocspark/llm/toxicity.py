@@ -1,16 +1,20 @@
 """Toxicity scores (operator 10): boosted trees over dense features, calibrated.
 
 The model is fitted on the driver on a bounded sample of labelled documents of the training
-folds, dealt into three parts by their ids: from the first comes a lexicon (words and
-word beginnings whose documents are toxic far more often than others), from the second the trees, from the third
-an isotonic map from their sums to probabilities. Every document is then scored where it
+folds, dealt into three parts by their ids and fitted crosswise, so that every document
+serves each step. A lexicon holds words and word beginnings whose documents are toxic far
+more often than others; a part's features are made with the lexicon of the other two. The
+trees of two parts give the sums of the third, and an isotonic map from all these sums to
+probabilities calibrates. Lexicon and trees of all parts score every document where it
 lies. Labels, language, source and id are no inputs.
 
 Features: share and number of lexicon words, their largest weight, how near they come to a
 second-person pronoun, capitals, punctuation, obfuscated spellings, and words that are in
 the lexicon only once spelled plainly. A null or empty text has the features of no words.
-Null labels are not looked at; without labels of both kinds every score is the share of
-toxic labels (0 without any). Repeated rows and null ids are scored as they are.
+Null labels are not looked at, of several labels of a doc_id the toxic one counts, of several
+texts of a doc_id the model learns from the least; without labels of both kinds in any two
+parts every score is the share of toxic labels (0 without any). Repeated rows and null ids
+are scored as they are.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import once, table, texts_of
 
-#: Labelled documents at most that the model is fitted on; lexicon words at most; score from which a document counts as toxic.
-SAMPLE, LEXICON, TOXIC = 18_000, 1000, 0.7
+#: Labelled documents at most that the model is fitted on, parts of them; lexicon words at most, toxic documents that a word needs (fewer where there are under 100); score from which a document counts as toxic.
+SAMPLE, PARTS, LEXICON, SUPPORT, TOXIC = 18_000, 3, 1000, 5, 0.7
 #: Lengths of the word beginnings that the lexicon may hold, written with a star.
 STEMS = range(4, 9)
 PRONOUNS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tus su vosotros".split())
@@ -150,12 +154,12 @@ class Model:
         return np.clip(np.interp(self.trees.sums(x), *self.points), 0, 1)
 
 
-def _rows(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """part, y and features of sampled documents (part, y, text)."""
+def _rows(docs: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
+    """part, y and features of sampled documents (part, y, text), each with its part's lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t, lexicon) for t in texts_of(batch.column(2))]
+            x = [features(t, lexicons[p]) for p, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["part", "y", "x"])
 
     return docs.select("part", "y", "text").mapInArrow(run, "part int, y int, x array<double>")
@@ -168,24 +172,37 @@ def _stems(k: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from the labelled documents of the training folds that have the least hashes."""
-    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(fold(F.col("k")) % 3 != 1)
-    chosen = usable.orderBy(F.xxhash64("k"), "y").limit(sample).select("k", "y", F.pmod(F.xxhash64("k", F.lit("part")), F.lit(3)).cast("int").alias("part"))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("part", "y", "text")
-    seen = once(rows.where("part = 0").select("y", "text"), "words", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))).select("y", "words")
-    stems = [_stems(k) for k in STEMS]
-    seen = seen.select("y", F.explode(F.array_distinct(F.concat("words", *stems))).alias("w"))
-    n = {r["y"]: r["n"] for r in rows.where("part = 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    odds = F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("good") + 0.5) / (n.get(0, 0) + 1))
-    words = seen.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where("bad >= 5").select("w", odds.alias("o"), "bad").where("o > 1.5")
-    lexicon = {r["w"]: r["o"] for r in words.orderBy((F.col("o") * F.sqrt("bad")).desc(), "w").limit(LEXICON).collect()}
-    got = _rows(rows.where("part > 0"), lexicon).collect()
+    usable = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y")).where(fold(F.col("k")) % 3 != 1)
+    chosen = usable.orderBy(F.xxhash64("k"), "k").limit(sample).select("k", "y", F.pmod(F.xxhash64("k", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").groupBy("k", "part", "y").agg(F.min("text").alias("text")).select("part", "y", "text")
+    lexicons = learned_lexicons(rows)
+    got = _rows(rows, lexicons).collect()
     got.sort(key=lambda r: (r["part"], r["y"], r["x"]))
     part, y = np.array([r["part"] for r in got], int), np.array([r["y"] for r in got], float)
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(features("", {})))
-    if any(len(set(y[part == p])) < 2 for p in (1, 2)):
-        return Model(lexicon, None, None, float(y.mean()) if len(y) else 0.0)
-    trees = Trees().fit(x[part == 1], y[part == 1])
-    return Model(lexicon, trees, isotonic(trees.sums(x[part == 2]), y[part == 2]), float(y.mean()))
+    if any(len(set(y[part != p])) < 2 for p in range(PARTS)):
+        return Model(lexicons[PARTS], None, None, float(y.mean()) if len(y) else 0.0)
+    sums = np.zeros(len(y))
+    for p in range(PARTS):
+        sums[part == p] = Trees().fit(x[part != p], y[part != p]).sums(x[part == p])
+    return Model(lexicons[PARTS], Trees().fit(x, y), isotonic(sums, y), float(y.mean()))
+
+
+def learned_lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """For each part of (part, y, text) the lexicon of the others, and at the end that of all."""
+    seen = once(rows, "words", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))))
+    seen = seen.select("part", "y", F.explode(F.array_distinct(F.concat("words", *[_stems(k) for k in STEMS]))).alias("w"))
+    n = {(r["part"], r["y"]): r["n"] for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    of = lambda p, y: sum(c for (q, v), c in n.items() if q != p and v == y)
+    counts = [F.count_if((F.col("y") == y) & (F.col("part") != p)).alias(f"{name}{p}") for p in range(PARTS + 1) for name, y in (("bad", 1), ("good", 0))]
+    scored = seen.groupBy("w").agg(*counts)
+    for p in range(PARTS + 1):
+        least = max(2, min(SUPPORT, of(p, 1) // 20))
+        odds = F.log((F.col(f"bad{p}") + 0.5) / (of(p, 1) + 1)) - F.log((F.col(f"good{p}") + 0.5) / (of(p, 0) + 1))
+        scored = scored.withColumn(f"o{p}", F.when((F.col(f"bad{p}") >= least) & (odds > 1.5), odds))
+    worth = [F.coalesce(F.col(f"o{p}") * F.sqrt(f"bad{p}"), F.lit(0.0)) for p in range(PARTS + 1)]
+    got = scored.select("w", *[f"o{p}" for p in range(PARTS + 1)], *[v.alias(f"v{p}") for p, v in enumerate(worth)]).where(F.greatest(*worth) > 0).orderBy(F.greatest(*worth).desc(), "w").limit((PARTS + 1) * LEXICON).collect()
+    return [{r["w"]: r[f"o{p}"] for r in sorted((r for r in got if r[f"o{p}"]), key=lambda r: (-r[f"v{p}"], r["w"]))[:LEXICON]} for p in range(PARTS + 1)]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
