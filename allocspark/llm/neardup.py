@@ -6,15 +6,18 @@ them. The steps:
 
 1. One pass gives each document's set size, a 128-bit digest of its set, and its signature.
    Documents of one digest have the same set; the least doc_id stands for them from here on.
-2. Bands of coordinates tie each set to the least one of its band; the best such link of a
-   set is confirmed. This joins large groups of near copies by few links. Nothing is
-   decided here: sets that are tied already need no further link between them.
-3. Inverted join with a prefix: two sets with ``match`` common coordinates share one of
+2. Sets are posted under all coordinates. A set with fewer than ``match`` coordinates in
+   lists of two or more has no partner; it leaves, and only the others' texts are fetched.
+3. Counting its collisions with the least set of each of its lists gives each set a head;
+   that link is confirmed. This joins large groups of near copies by few links and is a
+   shortcut only: sets that are tied already need no further link between them.
+4. Inverted join with a prefix: two sets with ``match`` common coordinates share one of
    the first k - match + 1, so only those are posted, and lists that lie within one group
    are skipped. Lists over ``block`` sets are split into pairs of blocks, which are tasks of
-   their own. In a list collisions are counted on 8 bits of each coordinate, which can only
-   add candidates, and the pairs that lie within a group or whose sizes differ too much go.
-4. The candidates are confirmed on full sets; all links give the components. A list with
+   their own. In a list collisions are counted coordinate by coordinate, on 8 bits of each,
+   which can only add candidates; a pair is skipped as soon as the coordinates that are left
+   can't bring it to ``match``, if it lies within a group, or if the sizes differ too much.
+5. The candidates are confirmed on full sets; all links give the components. A list with
    very many candidates (families of documents that are alike, but mostly not enough) gives
    a tree over them instead of all pairs; the sets of such a family meet in blocks, and
    each pair of blocks verifies its candidates in place and gives the links that join groups.
@@ -22,9 +25,10 @@ them. The steps:
 A pair at the threshold of 0.75 has at least 30 of 64 equal coordinates but for one in
 some millions, and a lost link matters only where no other path joins its documents.
 
-Null and empty texts have an empty set and no links. doc_id names a document: repeated rows
-are one document. A row without doc_id is linked with nothing, has no component, and is
-kept. Other columns are not looked at.
+Null and empty texts have an empty set and no links. Repeated rows are one document. Rows
+of one doc_id with different texts are told apart: a link of one doesn't tie the others. A
+row without doc_id is linked with nothing, has no component, and is kept. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -37,37 +41,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import freed, shuffle_partitions, slices, table, texts_of, written
+from .common import shuffle_partitions, slices, table, texts_of, written
 from .graph import components
 from .shingles import min_hashes, shingle_sets
 
-#: Coordinates, equal ones that make a candidate, bands, sets in a block, similarity in percent, pairs for each set that a list gives as such.
-K, MATCH, BANDS, BLOCK, PERCENT, SPARSE = 64, 30, 16, 2048, 75, 8
+#: Coordinates, equal ones that make a candidate, sets in a block, similarity in percent, pairs for each set that a list gives as such.
+K, MATCH, BLOCK, PERCENT, SPARSE = 64, 30, 2048, 75, 8
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), sig (array of k coordinates)."""
+    """doc_id, text_key (hash of the text), n_shingles, digest (null for an empty set), sig (array of k coordinates)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(2))
             for a, b in slices(texts):
                 found = shingle_sets(texts[a:b], size)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
                 sigs = [min_hashes(s, k) if len(s) else np.zeros(k, np.int32) for s in found]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k * (b - a) + 1, k, dtype=np.int32)), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.binary()), flat], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.binary()), flat], ["doc_id", "text_key", "n_shingles", "digest", "sig"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = PERCENT, block: int = 64) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. Each b is sent to its a once; an a with many partners is sent to several tasks."""
-    n = docs.sparkSession
+def _posted(sets: DataFrame, coordinates: int = K, *more: str) -> DataFrame:
+    """node, more columns, and key (a coordinate and its value) of each post."""
+    return sets.select("node", *more, F.posexplode(F.slice("sig", 1, coordinates)).alias("i", "value")).select("node", *more, (F.shiftleft(F.col("i").cast("long"), 32) + F.col("value")).alias("key"))
+
+
+def with_company(sets: DataFrame, match: int = MATCH) -> DataFrame:
+    """The sets that share ``match`` coordinates or more, each with some other set."""
+    posts = _posted(sets)
+    lists = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "lists")
+    nodes = posts.join(lists, "key", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= match).select("node")
+    return sets.join(nodes, "node", "left_semi")
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, size: int = 5, percent: int = PERCENT, block: int = 64) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. Each b is sent to its a once; an a with many partners is sent to several tasks. texts: node, text."""
+    n = texts.sparkSession
     dealt = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / block).cast("int").alias("salts"))
     members = pairs.join(dealt, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"))
     heads = dealt.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
+    texts = texts.select(F.col("node").alias("id"), "text")
     rows = members.unionByName(heads).join(texts, "id").select("a", "salt", (F.col("a") != F.col("id")).alias("member"), "id", "text")
     rows = rows.repartition(shuffle_partitions(n), "a", "salt").sortWithinPartitions("a", "salt", "member")
 
@@ -91,31 +108,27 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int = 5, percent: int = P
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def banded(sets: DataFrame, match: int = MATCH, bands: int = BANDS) -> DataFrame:
-    """Each set's best link (a < b) to the least set of one of its bands."""
-    width = K // bands
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("sig", F.lit(width * i + j)) for j in range(width)]) for i in range(bands)])
-    posted = sets.select("doc_id", F.explode(keys).alias("band"))
-    least = posted.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("band", "a")
-    near = posted.join(least, "band").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return near.join(left, "a").join(right, "b").select("a", "b", same.alias("same")).where(F.col("same") >= match).groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
+def headed(sets: DataFrame, match: int = MATCH) -> DataFrame:
+    """Each set's link (a < b) to the set that is the least of most of its lists, if those are half of ``match``."""
+    posts = _posted(sets)
+    least = posts.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("key", "a")
+    met = posts.join(least, "key").where("a <> node").groupBy(F.col("node").alias("b"), "a").agg(F.count(F.lit(1)).alias("same")).where(F.col("same") >= match // 2)
+    return met.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def colliding(sets: DataFrame, match: int = MATCH, block: int = BLOCK, percent: int = PERCENT, sparse: int = SPARSE) -> DataFrame:
-    """Pairs (a < b) of different groups with ``match`` equal coordinates. sets: doc_id, grp, n_shingles, sig.
+    """Pairs (a < b) of different groups with ``match`` equal coordinates. sets: node, grp, n_shingles, sig.
 
     A list with more than ``sparse`` pairs for each of its sets doesn't give them: it gives
     one edge (with ``dense``) from each set to the least set that its pairs lead to.
     """
     prefix = K - match + 1
-    posted = sets.select("doc_id", "grp", F.posexplode(F.slice("sig", 1, prefix)).alias("i", "value")).select("doc_id", "grp", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("value")).alias("key"))
+    posted = _posted(sets, prefix, "grp")
     lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    live = posted.join(lists, "key").select("key", "blocks", "doc_id")
-    small = sets.select("doc_id", "grp", F.col("n_shingles").alias("n"), F.transform("sig", lambda x: (x % 256 - 128).cast("tinyint")).alias("sig"))
-    rows = live.join(small, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "own", "doc_id", "grp", "n", "sig")
+    live = posted.join(lists, "key").select("key", "blocks", "node")
+    small = sets.select("node", "grp", F.col("n_shingles").alias("n"), F.transform("sig", lambda x: (x % 256 - 128).cast("tinyint")).alias("sig"))
+    rows = live.join(small, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "own", "node", "grp", "n", "sig")
     rows = rows.repartition(shuffle_partitions(sets.sparkSession), "key", "r", "c").sortWithinPartitions("key", "r", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +182,14 @@ def _matching(ids: np.ndarray, grp: np.ndarray, n: np.ndarray, sig: np.ndarray,
         if own is not None:
             fit &= own[p:q, None] != own
         i, j = np.nonzero(fit)
-        hit = (sig[p + i] == sig[j]).sum(axis=1) >= match
-        left.append(p + i[hit])
-        right.append(j[hit])
+        same = np.zeros(len(i), np.int16)
+        for k in range(0, K, 8):
+            same += (sig[p + i, k : k + 8] == sig[j, k : k + 8]).sum(axis=1, dtype=np.int16)
+            able = same + (K - k - 8) >= match
+            if not able.all():
+                i, j, same = i[able], j[able], same[able]
+        left.append(p + i)
+        right.append(j)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -189,7 +207,7 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def clustered(docs: DataFrame, sets: DataFrame, edges: DataFrame, size: int = 5, match: int = MATCH, percent: int = PERCENT, block: int = BLOCK // 4) -> DataFrame:
+def clustered(texts: DataFrame, sets: DataFrame, edges: DataFrame, size: int = 5, match: int = MATCH, percent: int = PERCENT, block: int = BLOCK // 4) -> DataFrame:
     """Links (a, b) that join the groups of all similar sets within the components of the dense edges.
 
     Each component is dealt out by pairs of blocks of its sets. A task verifies the pairs that
@@ -198,12 +216,11 @@ def clustered(docs: DataFrame, sets: DataFrame, edges: DataFrame, size: int = 5,
     """
     found = components(edges)
     spread = found.groupBy("component").agg(F.count(F.lit(1)).alias("m")).select("component", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    small = sets.select("doc_id", "grp", F.col("n_shingles").alias("n"), F.transform("sig", lambda x: (x % 256 - 128).cast("tinyint")).alias("sig"))
-    rows = found.join(spread, "component").join(small, found["node"] == small["doc_id"]).select("component", "blocks", "doc_id", "grp", "n", "sig", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own"))
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    rows = rows.join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "own", "doc_id", "grp", "n", "sig", "text")
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "component", "r", "c").sortWithinPartitions("component", "r", "c")
+    small = sets.select("node", "grp", F.col("n_shingles").alias("n"), F.transform("sig", lambda x: (x % 256 - 128).cast("tinyint")).alias("sig"))
+    rows = found.join(spread, "component").join(small, "node").select("component", "blocks", "node", "grp", "n", "sig", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    rows = rows.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), "own", "node", "grp", "n", "sig", "text")
+    rows = rows.repartition(shuffle_partitions(texts.sparkSession), "component", "r", "c").sortWithinPartitions("component", "r", "c")
 
     def links(cell: tuple, own: list, ids: list, grp: list, n: list, sig: list, full: list) -> pa.RecordBatch:
         own, ids, grp, n = (np.array(x) for x in (own, ids, grp, n))
@@ -253,22 +270,38 @@ def _ending(batches):
     yield None
 
 
+def _named(sets: DataFrame) -> DataFrame:
+    """Sets with a node each: their doc_id, or another number where several sets have the same."""
+    twice = sets.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("doc_id", "first")
+    if not twice.head(1):
+        return sets.withColumn("node", F.col("doc_id"))
+    other = F.col("first").isNotNull() & (F.col("first") != F.col("digest"))
+    return sets.join(twice, "doc_id", "left").withColumn("node", F.when(other, F.xxhash64("digest", "doc_id")).otherwise(F.col("doc_id"))).drop("first")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sparse: int = SPARSE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     signed = written(signatures(docs), "signatures")
-    sets = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig"), "doc_id").alias("s")).select("s.*", "digest")
-    sets = written(sets, "sets")
-    stars = freed(written(confirmed(docs, banded(sets)), "stars"))
-    groups = components(stars)
-    grouped = written(sets.join(groups, sets["doc_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("grp"), "n_shingles", "sig", "digest"), "groups")
-    pairs = freed(written(colliding(grouped, sparse=sparse), "pairs"))
-    links = confirmed(docs, pairs.where("NOT dense").select("a", "b")).unionByName(clustered(docs, grouped, pairs.where("dense").select("a", "b")))
-    merged = grouped.select("doc_id", "grp")
-    a, b = (merged.select(F.col("doc_id").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
-    joined = components(freed(written(links, "links")).join(a, "a").join(b, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")))
-    final = grouped.join(joined, grouped["grp"] == joined["node"], "left").select("digest", F.coalesce("component", "grp").alias("of"))
-    out = signed.join(written(final, "classes"), "digest", "left")
+    row = F.struct("doc_id", "text_key", "n_shingles", "sig")
+    alone = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(row, F.struct("doc_id", "text_key")).alias("s")).select("s.*", "digest")
+    alone = written(alone, "sets")
+    sets = written(with_company(_named(alone)), "company")
+    texts = docs.where("text IS NOT NULL").join(sets.select("doc_id", "text_key", "node"), ["doc_id", "text_key"])
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    groups = components(written(confirmed(texts, headed(sets)), "stars"))
+    grouped = written(sets.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("grp"), "n_shingles", "sig", "digest"), "groups")
+    pairs = written(colliding(grouped, sparse=sparse), "pairs")
+    links = confirmed(texts, pairs.where("NOT dense").select("a", "b")).unionByName(clustered(texts, grouped, pairs.where("dense").select("a", "b")))
+    merged = grouped.select("node", "grp")
+    a, b = (merged.select(F.col("node").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
+    joined = written(components(written(links, "links").join(a, "a").join(b, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "joined")
+    final = grouped.join(joined.withColumnRenamed("node", "grp"), "grp", "left").select("digest", "doc_id", F.coalesce("component", "grp").alias("class"))
+    least = written(final.groupBy("class").agg(F.min("doc_id").alias("of")), "least")
+    classes = written(final.join(least, "class").select("digest", "of"), "classes")
+    # sets without company stand for their equal ones only
+    equal = written(alone.select("digest", F.col("doc_id").alias("least")).join(classes, "digest", "left").select("digest", F.coalesce("of", "least").alias("of")), "components")
+    out = signed.where("digest IS NOT NULL").join(equal, "digest", "left").select("doc_id", "n_shingles", "of").unionByName(signed.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("of")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

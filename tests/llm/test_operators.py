@@ -100,6 +100,17 @@ def test_near_copies(spark, sparse):
     assert [got[i] for i in range(len(texts))] == near(texts)
 
 
+def test_ids_with_two_texts_and_texts_with_two_ids(spark):
+    words = [f"v{i}" for i in range(60)]
+    a, b = " ".join(words[:30]), " ".join(words[30:])
+    rows = [(1, a), (1, b), (1, a), (5, b + " z"), (7, a + " y"), (9, a), (None, a), (None, None), (3, ""), (4, "q")]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (3, 3, True), (4, 4, True), (5, 1, False), (7, 1, False), (9, 1, False)]
+    far = [(1, a), (1, b), (1, "u " * 9 + "w"), (5, b), (6, " ".join(words[10:40]) + " p q r s t u v w x y")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(far, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 1), (5, 1), (6, 6)}
+
+
 def passages():
     """Texts that share passages in every way: borders at many places, periods, copies."""
     r = random.Random(11)
@@ -156,6 +167,19 @@ def test_windows_by_join_are_the_same(spark, tables):
     assert decontaminate.decontaminate(docs, bench, remove="spans").columns == docs.columns
 
 
+def test_items_and_their_ids(spark):
+    words = [f"u{i}" for i in range(40)]
+    items = [("mmlu,4", " ".join(words[:13])), ("two\nlines", " ".join(words[1:14])), (None, " ".join(words[20:33])), ("", "u35 u36"), ("same", " ".join(words[:13])), ("same", "u38 u39"), ("none", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "u36 u35"), (None, "U35, u36!"), (3, None)], "doc_id bigint, text string")
+    want = {1: [(0, 13, ["mmlu,4", "same"]), (1, 13, ["two\nlines"]), (20, 13, []), (35, 2, [""]), (38, 2, ["same"])], 2: [], None: [(0, 2, [""])], 3: []}
+    for most in (decontaminate.MOST, 0):
+        for r in decontaminate.scan(docs, bench, most=most).collect():
+            assert [(h.start, h.length, sorted(h["items"])) for h in r._dc_hits] == want[r.doc_id], (most, r.doc_id)
+    kept = decontaminate.decontaminate(docs, bench, remove="spans").orderBy("doc_id").collect()
+    assert [r.text for r in kept] == ["!", " " + " ".join(words[14:20] + words[33:35] + words[37:38]), "u36 u35", None]
+
+
 @pytest.mark.parametrize("n", [4096, 5000])
 def test_many_windows_of_one_lead(spark, n):
     bench = spark.createDataFrame([(i, f"name the capital of place{i}") for i in range(n)], "item_id bigint, text string")
