@@ -11,7 +11,9 @@ from .aggregates import Pair
 
 #: Limits of data quality and of disclosure control.
 EDGES, MIN_ROWS, MIN_CASES, MIN_POOL, ORIGINS = (25, 100, 250), 100, 10, 2, 8
-PRINT = ("hospital_id", "urgency_code", "speciality_id", "department_id", "assignment_id", "dispatch_area_id", "indication_id", "age", "gender_code")
+#: What names an event, in the survey's order (both times stand as text), and the columns that make a row more complete.
+PRINT = ("hospital_id", "created_at", "arrival_at", "age", "gender_code", "urgency_code", "speciality_id", "department_id", "assignment_id", "dispatch_area_id", "indication_raw_id")
+OPTIONAL = ("notes", "assessment_id", "secondary_indication_id", "occasion_id", "infection_id")
 
 
 def ranked_copies(rows: DataFrame) -> DataFrame:
@@ -19,8 +21,9 @@ def ranked_copies(rows: DataFrame) -> DataFrame:
 
     A case is a hospital's case id and event; without a case id the event alone.
     """
-    event = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in PRINT], F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).cast("binary"))
-    complete = sum((F.col(c).isNotNull().cast("int") for c in ("secondary_indication_id", "occasion_id", "infection_id", "secondary_transport_id")), F.lit(0))
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c.endswith("_at") else F.col(c).cast("string") for c in PRINT]
+    event = F.md5(F.concat_ws("|", *shown).cast("binary"))
+    complete = sum(((F.col(c).isNotNull() & (F.col(c).cast("string") != "")).cast("int") for c in OPTIONAL), F.lit(0))
     case = F.when(F.col("case_id").isNotNull(), F.concat_ws("|", F.lit("c"), "hospital_id", "case_id", "event")).otherwise(F.concat_ws("|", F.lit("e"), "event"))
     order = Window.partitionBy("case_key").orderBy(F.desc("import_id"), F.desc("complete"), "fact_key")
     return rows.withColumn("event", event).withColumn("complete", complete).withColumn("case_key", case).withColumn("rn", F.row_number().over(order))
@@ -37,16 +40,16 @@ def dedup_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
-    """Allocations of which every third comes again in a later import."""
+    """Allocations of which every third comes again in a later import without notes, and others once more in the same import."""
     a = raw_allocations(spark, d)
-    return a.unionByName(a.where("speciality_id % 3 = 0").withColumn("import_id", F.col("import_id") + 1).withColumn("fact_key", F.concat("fact_key", F.lit("-b"))))
+    later = a.where("speciality_id % 3 = 0").withColumns({"import_id": F.col("import_id") + 1, "fact_key": F.concat("fact_key", F.lit("-b")), "notes": F.lit(None).cast("string")})
+    return a.unionByName(later).unionByName(a.where("speciality_id = 4").withColumns({"fact_key": F.concat("fact_key", F.lit("-c")), "notes": F.lit("")}))
 
 
-_DUCK_PRINT = ", ".join(f"CAST({c} AS VARCHAR)" for c in PRINT)
 DEDUP = duck_with(
-    "two AS (SELECT * FROM alloc UNION ALL SELECT * REPLACE (CAST(import_id + 1 AS INTEGER) AS import_id, concat(fact_key, '-b') AS fact_key) FROM alloc WHERE speciality_id % 3 = 0)",
-    f"e AS (SELECT *, md5(concat_ws('|', {_DUCK_PRINT}, strftime(created_at, '%Y-%m-%d %H:%M:%S'))) AS event FROM two)",
-    "k AS (SELECT *, CASE WHEN case_id IS NOT NULL THEN concat_ws('|', 'c', hospital_id, case_id, event) ELSE concat_ws('|', 'e', event) END AS case_key, CAST(secondary_indication_id IS NOT NULL AS INT) + CAST(occasion_id IS NOT NULL AS INT) + CAST(infection_id IS NOT NULL AS INT) + CAST(secondary_transport_id IS NOT NULL AS INT) AS complete FROM e)",
+    "two AS (SELECT * FROM alloc UNION ALL SELECT * REPLACE (CAST(import_id + 1 AS INTEGER) AS import_id, concat(fact_key, '-b') AS fact_key, NULL AS notes) FROM alloc WHERE speciality_id % 3 = 0 UNION ALL SELECT * REPLACE (concat(fact_key, '-c') AS fact_key, '' AS notes) FROM alloc WHERE speciality_id = 4)",
+    "e AS (SELECT *, md5(concat_ws('|', CAST(hospital_id AS VARCHAR), strftime(created_at, '%Y-%m-%d %H:%M:%S'), strftime(arrival_at, '%Y-%m-%d %H:%M:%S'), CAST(age AS VARCHAR), CAST(gender_code AS VARCHAR), CAST(urgency_code AS VARCHAR), CAST(speciality_id AS VARCHAR), CAST(department_id AS VARCHAR), CAST(assignment_id AS VARCHAR), CAST(dispatch_area_id AS VARCHAR), CAST(indication_raw_id AS VARCHAR))) AS event FROM two)",
+    "k AS (SELECT *, CASE WHEN case_id IS NOT NULL THEN concat_ws('|', 'c', hospital_id, case_id, event) ELSE concat_ws('|', 'e', event) END AS case_key, CAST(coalesce(notes, '') <> '' AS INT) + CAST(assessment_id IS NOT NULL AS INT) + CAST(secondary_indication_id IS NOT NULL AS INT) + CAST(occasion_id IS NOT NULL AS INT) + CAST(infection_id IS NOT NULL AS INT) AS complete FROM e)",
     "r AS (SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY import_id DESC, complete DESC, fact_key) AS rn FROM k)",
 ) + "SELECT import_id, case_id IS NOT NULL AS by_case_id, count(*) AS n, count(CASE WHEN rn > 1 THEN 1 END) AS removed FROM r GROUP BY 1, 2"
 
@@ -66,8 +69,9 @@ def unseen_hospitals(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def only_in_import(spark: SparkSession, d: str) -> DataFrame:
-    """Hospitals whose rows all belong to one month."""
-    return facts(spark, d).groupBy("hospital_id", "dispatch_area_id").agg(F.min("import_id").alias("a"), F.max("import_id").alias("z")).where("a = z").select("hospital_id", "dispatch_area_id", F.col("a").alias("import_id"))
+    """Departments of a hospital, each with its import, whose rows all belong to one import."""
+    keys = ("hospital_id", "department_id", "indication_id")
+    return facts(spark, d).groupBy(*keys).agg(F.min("import_id").alias("import_id"), F.max("import_id").alias("z")).where("import_id = z").select(*keys, "import_id")
 
 
 def kpi_daily(spark: SparkSession, d: str, within: str = "TRUE") -> DataFrame:
@@ -148,7 +152,7 @@ _CH = lambda p: f"CASE WHEN {p} > 0 THEN round(100 * (now - {p})::DOUBLE / {p},
 QUERIES: dict[str, Pair] = {
     "dedup_report": (dedup_report, DEDUP),
     "dedup_kept": (lambda s, d: deduplicated(_repeated(s, d)).groupBy("import_id").agg(F.count(F.lit(1)).alias("n")), DEDUP[: DEDUP.rindex("SELECT import_id")] + "SELECT import_id, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1"),
-    "single_import_hospitals": (only_in_import, duck_with() + "SELECT hospital_id, dispatch_area_id, min(import_id) AS import_id FROM fact GROUP BY 1, 2 HAVING min(import_id) = max(import_id)"),
+    "single_import_hospitals": (only_in_import, duck_with() + "SELECT DISTINCT hospital_id, department_id, indication_id, import_id FROM fact f WHERE NOT EXISTS (SELECT 1 FROM fact g WHERE g.hospital_id = f.hospital_id AND g.department_id = f.department_id AND g.indication_id IS NOT DISTINCT FROM f.indication_id AND g.import_id <> f.import_id)"),
     "kpi_daily": (lambda s, d: kpi_daily(s, d, "created_year = 1997 AND created_month = 3"), duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact WHERE created_year = 1997 AND created_month = 3)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
     "kpi_daily_all": (kpi_daily, duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
     "quality_volume": (volume_histogram, duck_with("n AS (SELECT hospital_id, count(*) AS n FROM fact WHERE created_year = 1997 GROUP BY 1)") + "SELECT CASE WHEN n >= 250 THEN '250_plus' WHEN n >= 100 THEN '100_249' WHEN n >= 25 THEN '25_99' ELSE '0_24' END AS bucket, count(*) AS n_hospitals, count(CASE WHEN n >= 100 THEN 1 END) AS enough, CAST(sum(n) AS BIGINT) AS n_rows FROM n GROUP BY 1"),

@@ -18,15 +18,11 @@ def grouping_slice(rows: DataFrame, kinds: list[Kind], values: dict[str, str], s
     names = {k: f"k{i}" for i, k in enumerate(keys)}
     wide = rows.withColumns({n: F.expr(S.text(k)) for k, n in names.items()})
     sets = [[names[k] for k in (a, b) if k] for _, a, b in kinds]
-    wide.createOrReplaceTempView(view := f"slice_{abs(hash(tuple(map(tuple, kinds)))) % 10**9}")
-    sql = f"SELECT {', '.join(names.values())}, grouping_id() AS g, {', '.join(f'{v} AS {n}' for n, v in values.items())} FROM {view} GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in sets)})"
-    grouped = rows.sparkSession.sql(sql)
     order = list(names.values())
-    # grouping_id numbers the keys in order of their first mention; a set bit is a key left out
-    mentioned = list(dict.fromkeys(k for s in sets for k in s))
+    grouped = wide.groupingSets(sets, *order).agg(F.grouping_id().alias("g"), *[F.expr(v).alias(n) for n, v in values.items()])
     out = None
     for (name, a, b), s in zip(kinds, sets, strict=True):
-        level = sum(1 << (len(mentioned) - 1 - mentioned.index(k)) for k in order if k not in s)
+        level = sum(1 << (len(order) - 1 - order.index(k)) for k in order if k not in s)  # a set bit is a key left out
         hit = F.col("g") == level
         cell = F.struct(F.lit(name).alias("slice_kind"), F.col(names[a]).alias("dim1"), (F.col(names[b]) if b else F.lit(None).cast("string")).alias("dim2"))
         out = F.when(hit, cell) if out is None else out.when(hit, cell)

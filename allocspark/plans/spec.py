@@ -35,8 +35,13 @@ class Period:
         raise ValueError(f"unknown period {name}")
 
     def sql(self) -> list[str]:
+        """Conditions on created_at, and on the partitions that can hold such rows."""
         stamp = lambda t: f"CAST('{t:%Y-%m-%d %H:%M:%S}' AS TIMESTAMP)"
-        return [f"created_at {op} {stamp(t)}" for op, t in ((">=", self.start), ("<", self.end)) if t]
+        month = lambda t: t.year * 100 + t.month
+        exact = [f"created_at {op} {stamp(t)}" for op, t in ((">=", self.start), ("<", self.end)) if t]
+        first = [f"created_year * 100 + created_month >= {month(self.start)}"] if self.start else []
+        last = [f"created_year * 100 + created_month <= {month(self.end - dt.timedelta(microseconds=1))}"] if self.end else []
+        return exact + first + last
 
 
 @dataclass(frozen=True)
@@ -83,6 +88,8 @@ class Analysis:
             raise ValueError("prevalence_rate needs an unpivoted dimension")
         if "percent_of_bucket" in self.metrics and not self.series:
             raise ValueError("percent_of_bucket needs a series")
+        if self.source == "hospitals" and self.filters:
+            raise ValueError("filters are of allocations; restrict hospitals by a scope")
         for m in self.metrics:
             if m in S.METRICS and S.METRICS[m].hospital != (self.source == "hospitals") and m != "count":
                 raise ValueError(f"{m} does not fit {self.source}")

@@ -8,9 +8,13 @@ both, so that a DuckDB oracle can be built over the same definitions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 SPARK, DUCK = "spark", "duck"
 
 #: Expressions over lineitem, orders, customer, nation and the hospital's columns.
@@ -26,6 +30,7 @@ RAW = {
     "occasion_id": "CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey % 5 END",
     "infection_id": "CASE WHEN l_partkey % 11 < 3 THEN l_partkey % 11 END",
     "indication_id": "CASE WHEN l_partkey % 29 <> 0 THEN l_partkey % 50 END",
+    "indication_raw_id": "CAST(l_partkey % 150 AS INT)",
     "secondary_indication_id": "CASE WHEN l_orderkey % 4 = 0 THEN l_partkey * 7 % 50 END",
     "secondary_transport_id": "CASE WHEN l_orderkey % 6 = 0 THEN l_orderkey % 3 END",
     "age": "CASE WHEN l_partkey % 17 <> 0 THEN CAST(l_partkey % 103 AS INT) END",
@@ -41,6 +46,8 @@ RAW = {
     "is_work_accident": "l_orderkey % 17 = 0",
     "is_with_physician": "CASE WHEN l_orderkey % 15 = 0 THEN NULL ELSE l_quantity < 20 END",
     "department_was_closed": "l_orderkey % 14 = 0",
+    "notes": "CASE WHEN l_orderkey % 5 = 0 THEN '' WHEN l_orderkey % 5 < 3 THEN l_linestatus END",
+    "assessment_id": "CASE WHEN l_partkey % 12 < 5 THEN l_partkey % 12 END",
     "fact_key": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT))",
 }
 HOSPITAL = {
@@ -99,12 +106,35 @@ def raw_allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[F.expr(e).alias(n) for n, e in RAW.items()], "created_at", "arrival_at")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The denormalised fact: one row an allocation, its hospital's codes, calendar parts and minutes."""
+#: Columns by which the written fact is partitioned; conditions on them prune files.
+PARTITIONS = ("created_year", "created_month")
+_written: dict[tuple[str, str], str] = {}
+
+
+def built_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The denormalised fact, computed: one row an allocation, its hospital's codes, calendar parts and minutes."""
     codes = hospitals(spark, sf_dir).select("hospital_id", "tier_code", "location_code")
     return projected(raw_allocations(spark, sf_dir), codes)
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The denormalised fact, read from where this application has written it; the first reader writes it.
+
+    All queries read this one table: lineitem and orders are joined once, and periods and
+    years prune partitions. ``refreshed`` writes it anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    return spark.read.parquet(_written[key]) if key in _written else refreshed(spark, sf_dir)
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the fact of a folder of tables anew, with files of even size in each partition."""
+    path = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    built_facts(spark, sf_dir).hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS).parquet(path)
+    _written[spark.sparkContext.applicationId, sf_dir] = path
+    return spark.read.parquet(path)
+
+
 def projected(allocations: DataFrame, codes: DataFrame) -> DataFrame:
     """Build facts from allocations and the hospitals' codes (tier_code, location_code by hospital_id)."""
     rows = allocations.join(codes, "hospital_id").withColumn("minutes", F.expr(MINUTES[SPARK]))
