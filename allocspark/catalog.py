@@ -34,6 +34,10 @@ def specs() -> dict[str, Analysis]:
         "filter_on_axis": Analysis("gender", filters=(("gender", ("1",)), ("cpr", ("1",)))),
         "null_buckets": Analysis("gender", "transport_time_bucket", null_buckets=True),
         "double_unpivot": Analysis("clinical_resources", "clinical_features"),
+        "hospital_scope_ids": Analysis("hospital_size", metrics=("hospital_count", "sum_beds"), source="hospitals", population="all", scope=Scope(hospital_ids=(1, 2, 3, 4, 5, 8))),
+        "hospital_scope_area": Analysis("hospital_tier", metrics=("hospital_count", "total_allocations"), source="hospitals", scope=Scope(dispatch_area_id=7)),
+        "hospital_scope_cohort": Analysis("hospital_location", metrics=("hospital_count", "avg_beds"), source="hospitals", population="compare", scope=Scope(locations=(1, 3), tiers=(2,))),
+        "hospital_scope_empty": Analysis("hospital_size", metrics=("hospital_count",), source="hospitals", scope=Scope(hospital_ids=())),
     }
     return {f"view_{k}": v for k, v in views().items()} | {f"semantic_{k}": v for k, v in more.items()}
 

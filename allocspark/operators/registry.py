@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates", "slices", "usage", "maintenance")
+MODULES = ("aggregates", "slices", "usage", "maintenance", "listing", "upkeep", "benchmark", "population")
 
 
 def _all() -> dict:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from .filters import hospitals_in_scope
 from .spec import Analysis
 
 
@@ -80,7 +82,8 @@ def hospital_rows(facts: DataFrame, hospitals: DataFrame) -> DataFrame:
 
 
 def _hospital_rows(spec: Analysis, facts: DataFrame, hospitals: DataFrame) -> DataFrame:
-    rows = hospital_rows(restricted(facts, spec.period.sql()), hospitals)
+    """The scope restricts the hospitals (a dispatch area: those with allocations from it), the period their allocations."""
+    rows = hospital_rows(restricted(facts, spec.period.sql()), hospitals_in_scope(hospitals, facts, spec.scope))
     boxed = any(m in S.BOXES for m in spec.metrics)
     if spec.population == "participating":
         rows = rows.where("participating")
@@ -102,9 +105,37 @@ def pivoted(rows: DataFrame, value: str = "count", columns: list[str] | None = N
     return rows.groupBy("bucket").pivot("series", columns).agg(F.first(value)).na.fill(0)
 
 
-def totals(rows: DataFrame, value: str = "count") -> DataFrame:
-    """Row, column and grand totals of an additive metric, as bucket and series with null for all."""
-    return rows.cube("bucket", "series").agg(F.sum(value).alias(value), F.grouping_id().alias("level"))
+#: Metrics whose totals are sums; means are weighted by the number of hospitals.
+ADDITIVE = ("count", "hospital_count", "sum_beds", "total_allocations", "percent_of_total")
+EXTREMES = {"min_beds": F.min, "max_beds": F.max, "min_allocations_per_hospital": F.min, "max_allocations_per_hospital": F.max}
+
+
+def totals(rows: DataFrame, metrics: tuple[str, ...] = ("count",)) -> DataFrame:
+    """Row, column and grand totals, with null for all: sums of additive metrics (a grand total of percents is 100), means weighted by hospital_count (plain ones without it), extremes of extremes, null for others."""
+    keys = [k for k in ("bucket", "series") if k in rows.columns]
+
+    def total(m: str):
+        if m in ADDITIVE:
+            return F.sum(m)
+        if m in EXTREMES:
+            return EXTREMES[m](m)
+        if m.startswith(("avg_", "mean_")):
+            return F.sum(F.col(m) * F.col("hospital_count")) / F.sum(F.when(F.col(m).isNotNull(), F.col("hospital_count"))) if "hospital_count" in rows.columns else F.avg(m)
+        return F.lit(None).cast("double")
+
+    return rows.cube(*keys).agg(*[total(m).alias(m) for m in metrics], F.grouping_id().alias("level"))
+
+
+#: The dimension of each time grain; none for the total.
+GRAINS = {"total": None, "month": "month", "quarter": "quarter", "week": "week", "year": "year"}
+
+
+def by_grain(spec: Analysis, grain: str, facts: DataFrame, hospitals: DataFrame) -> DataFrame:
+    """The specification with its temporal dimension chosen by a grain; ``total`` is one row without buckets."""
+    dimension = GRAINS[grain]
+    if dimension:
+        return analyse(replace(spec, dimension=dimension), facts, hospitals)
+    return restricted(facts, spec.conditions()).agg(*[F.expr(S.METRICS[m].spark).alias(m) for m in spec.metrics])
 
 
 def top_with_rest(rows: DataFrame, k: int, value: str = "count", rest: str = "other") -> DataFrame:

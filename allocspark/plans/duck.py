@@ -60,9 +60,17 @@ def _hospital_sql(spec: Analysis) -> str:
     boxed = any(m in S.BOXES for m in spec.metrics)
     per = f"per AS (SELECT hospital_id, count(*) AS allocations, quantile_cont(minutes, 0.5) AS median_minutes FROM fact{_where(spec.period.sql())} GROUP BY 1)"
     base = "SELECT h.*, allocations, median_minutes FROM hospital h LEFT JOIN per USING (hospital_id)"
-    if spec.population == "participating":
-        base += " WHERE participating"
-    elif spec.population == "compare":
+    inside = ["participating"] if spec.population == "participating" else []
+    if spec.scope.hospital_ids is not None:
+        inside.append(f"h.hospital_id IN ({', '.join(map(str, spec.scope.hospital_ids))})" if spec.scope.hospital_ids else "FALSE")
+    if spec.scope.dispatch_area_id is not None:
+        inside.append(f"EXISTS (SELECT 1 FROM fact f WHERE f.hospital_id = h.hospital_id AND f.dispatch_area_id = {spec.scope.dispatch_area_id})")
+    for column, codes in (("location_code", spec.scope.locations), ("tier_code", spec.scope.tiers)):
+        if codes:
+            inside.append(f"list_contains([{', '.join(map(str, codes))}], h.{column})")
+    if inside:
+        base += f" WHERE {' AND '.join(inside)}"
+    if spec.population == "compare":
         own = "participating = (population_group = 'participating')"
         base = f"SELECT * FROM ({base}) CROSS JOIN (VALUES ('participating'), ('non_participating')) AS g(population_group)"
         base = f"SELECT * FROM ({base}) WHERE {own}" if boxed else f"SELECT * REPLACE (CASE WHEN {own} THEN hospital_id END AS hospital_id) FROM ({base})"
