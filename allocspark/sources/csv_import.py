@@ -1,15 +1,21 @@
-"""CSV exports into typed allocation rows and rejects.
+"""CSV exports into typed allocation and mass-casualty rows, and rejects.
 
-Reading is Spark's; the driver looks only at a file's first bytes (through Spark, so any
-store will do) for its encoding and header. Everything after that is columns.
+Reading is Spark's; the driver looks only at each file's first bytes (through the store's
+own file system, so any store will do) for its encoding and header. Everything after that
+is columns, but for Unicode normalisation, which Arrow does batch by batch.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spellings of a header's letters, signals of a row's type, words for true and false.
@@ -17,10 +23,27 @@ UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 MASS_SIGNALS = ("manv", "manv_id")
 ALLOCATION_SIGNALS = ("datum_erstellungsdatum", "uhrzeit_erstellungsdatum", "pzc", "pzc_und_text", "fachgebiet", "fachbereich", "grund", "dringlichkeit")
 TRUE_WORDS, FALSE_WORDS = ("ja", "j", "1", "wahr", "x", "schwanger"), ("nein", "n", "0", "falsch", "false")
-FLAGS = ("schockraum", "herzkatheter", "reanimation", "beatmet", "schock", "schwanger", "arztbegleitet")
+#: Flags of allocations by their columns; mass-casualty rows have all but the last two.
+FLAGS = {"requires_resus": "schockraum", "requires_cathlab": "herzkatheter", "is_cpr": "reanimation", "is_ventilated": "beatmet", "is_shock": "schock", "is_pregnant": "schwanger", "is_with_physician": "arztbegleitet", "is_work_accident": "arbeits_wege_schulunfall", "department_was_closed": "fachbereich_war_abgemeldet"}
+#: Plain texts by their columns.
+TEXTS = {"hospital": "krankenhaus_kurzname", "speciality": "fachgebiet", "department": "fachbereich", "assignment": "grund", "occasion": "anlass", "secondary_transport": "sekundaeranlass", "secondary_indication": "neben_pzc_text", "case_id": "enr", "notes": "freitext", "mci_title": "manv", "mci_id": "manv_id"}
 NO_INFECTION = ("Keine", "k.A.")
+#: The mark of a coordinating body, and what is cut from and corrected in a dispatch area's name.
+COORDINATION = "Koordinierungsstelle"
 AREA_CUTS = (r"^Leitstelle\s+", r"^Kreis\s+", r"\s*\(.+$", r"\s*-\s*Kreis$", r"\s*Kreis$")
 AREA_TYPOS = {"Groá-Gerau": "Groß-Gerau"}
+#: Departments by other names.
+DEPARTMENT_ALIASES = {"perinatalzentrum level 1": "geburtshilfe", "perinataler schwerpunkt": "geburtshilfe", "geburtsklinik": "geburtshilfe"}
+GROUND, AIR = ("boden", "naw", "itw", "mzf", "rtw"), ("luft",)
+#: The words of the four assessments; others stay as they are.
+ASSESSMENTS = {
+    "airway": {"free": ("frei",), "risk": ("gefährdet", "gefaehrdet"), "intubated": ("intubiert",), "critical": ("krit. atemweg", "kritischer atemweg", "krit atemweg", "kritisch", "krit.", "krit")},
+    "breathing": {"spontaneous": ("spontan",), "insufficient": ("resp. insuff.", "resp insuff.", "resp. insuff", "resp insuff", "respiratorische insuffizienz", "kritisch", "krit.", "krit"), "cpap": ("cpap", "flow-cpap", "flow cpap"), "niv": ("niv",), "invasive": ("invasiv",)},
+    "circulation": {"stable": ("stabil",), "medication": ("stabil unter med.", "stabil u. med.", "stabil unter med", "katecholamin", "katecholamine"), "unstable": ("instabil", "kritisch", "krit.", "krit"), "cpr": ("laufende rea", "rea laufend", "laufende reanimation")},
+    "disability": {"awake": ("wach",), "sedated": ("sediert",), "anesthetized": ("narkotisiert",)},
+}
+BLANK = " \t\n\r\0\x0b"
+HEAD_BYTES = 8192
 
 
 def detected_encoding(head: bytes) -> str:
@@ -38,33 +61,66 @@ def detected_encoding(head: bytes) -> str:
 def normalized_header(cells: list[str]) -> list[str]:
     """Column names: lower case, umlauts written out, other signs as _, unnamed by place, repeated ones numbered."""
     names: list[str] = []
-    for place, cell in enumerate(cells, 1):
-        low = unicodedata.normalize("NFC", cell.lstrip("﻿").strip()).lower()
+    for place, cell_ in enumerate(cells, 1):
+        low = unicodedata.normalize("NFC", cell_.lstrip("﻿").strip()).lower()
         name = re.sub(r"[^a-z0-9]+", "_", "".join(UMLAUTS.get(c, c) for c in low)).strip("_") or f"col_{place}"
         same = sum(n == name or re.fullmatch(rf"{re.escape(name)}_\d+", n) is not None for n in names)
         names.append(f"{name}_{same + 1}" if same else name)
     return names
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as trimmed text under normalised names; rows without any text are left out."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8192)).first()
-    encoding = detected_encoding(bytes(head[0]) if head else b"")
-    options = {"sep": ";", "quote": '"', "escape": "\\", "encoding": encoding, "header": False, "multiLine": False, "mode": "PERMISSIVE"}
-    first = bytes(head[0]).decode(encoding, "replace").splitlines()[0]
-    import csv
+def heads(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """The first bytes of each file of a path (a file, a folder or a pattern)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    store, found = place.getFileSystem(conf), {}
+    for status in store.globStatus(place) or []:
+        inner = store.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for f in inner:
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                stream = store.open(f.getPath())
+                found[f.getPath().toString()] = bytes(stream.readNBytes(HEAD_BYTES))
+                stream.close()
+    return found
+
+
+def composed(df: DataFrame) -> DataFrame:
+    """All text columns in Unicode's composed form (NFC)."""
 
-    names = normalized_header(next(csv.reader([first], delimiter=";")))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = spark.read.options(**options).schema(schema).csv(path)
-    rows = rows.select(*[F.trim(F.regexp_replace(n, "^﻿", "")).alias(n) for n in names])
-    is_header = F.concat_ws(";", *names) == F.concat_ws(";", *[F.lit(c.lstrip("﻿").strip()) for c in next(csv.reader([first], delimiter=";"))])
-    return rows.where(~is_header & (F.concat_ws("", *names) != ""))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pc.utf8_normalize(c, form="NFC") if pa.types.is_string(c.type) else c for c in batch.columns], batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All cells as trimmed text under normalised names, with _file and _line; rows without any text are left out.
+
+    Files may differ in encoding and header. Quoted cells may hold line breaks, so a file is read
+    by one task; rows are cut or filled up to the header's width.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for name, head in heads(spark, path).items():
+        encoding = detected_encoding(head)
+        first = next(csv.reader(head.decode(encoding, "replace").splitlines(), delimiter=";"))
+        groups.setdefault((encoding, tuple(first)), []).append(name)
+    if not groups:
+        raise ValueError(f"no file in {path}")
+    parts = []
+    for (encoding, first), files in groups.items():
+        names = normalized_header(list(first))
+        schema = ", ".join(f"`{n}` string" for n in names)
+        rows = spark.read.options(sep=";", quote='"', escape="\\", encoding=encoding, header=False, multiLine=True, mode="PERMISSIVE").schema(schema).csv(files)
+        rows = rows.select(*[F.btrim(F.regexp_replace(n, "^﻿", ""), F.lit(BLANK)).alias(n) for n in names], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+        rows = rows.withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at"))).drop("_at")
+        parts.append(rows.where((F.col("_line") > 1) & (F.concat_ws("", *names) != "")))
+    return composed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
 def cell(df: DataFrame, name: str) -> Column:
     """A column's text, null where it is blank or missing."""
-    text = F.trim(F.col(name)) if name in df.columns else F.lit(None).cast("string")
+    text = F.btrim(F.col(name), F.lit(BLANK)) if name in df.columns else F.lit(None).cast("string")
     return F.when(text != "", text)
 
 
@@ -76,16 +132,22 @@ def row_type(df: DataFrame) -> Column:
 
 def boolean(text: Column) -> Column:
     """By a plus or minus at the end, or a word; null for others."""
-    low = F.lower(F.trim(text))
+    low = F.lower(F.btrim(text, F.lit(BLANK)))
     return F.when(low.endswith("+"), True).when(low.endswith("-"), False).when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False)
 
 
 def moment(date: Column, time: Column) -> Column:
-    """Day.month.year (two or four digits) and a time cut to minutes; null if they are none."""
-    parts = F.split(F.trim(date), r"\.")
-    year = F.when(F.length(F.get(parts, F.lit(2))) == 2, F.concat(F.lit("20"), F.get(parts, F.lit(2)))).otherwise(F.get(parts, F.lit(2)))
+    """Day.month.year (of two digits from 70 on in the last century) and a time cut to minutes; null if they are none."""
+    parts = F.split(F.btrim(date, F.lit(BLANK)), r"\.")
+    last = F.get(parts, F.lit(2))
+    year = F.when(F.length(last) == 2, F.concat(F.when(last >= "70", F.lit("19")).otherwise(F.lit("20")), last)).otherwise(last)
     iso = F.concat_ws("-", year, F.lpad(F.get(parts, F.lit(1)), 2, "0"), F.lpad(F.get(parts, F.lit(0)), 2, "0"))
-    return F.try_to_timestamp(F.concat_ws(" ", iso, F.substring(time, 1, 5)), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+    return F.when(F.size(parts) == 3, F.try_to_timestamp(F.concat_ws(" ", iso, F.substring(time, 1, 5)), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz"))
+
+
+def number(text: Column) -> Column:
+    """The whole part of a number; null for other texts."""
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double").try_cast("int"))
 
 
 def area_name(text: Column) -> Column:
@@ -98,68 +160,170 @@ def area_name(text: Column) -> Column:
     return text
 
 
+def gender(text: Column) -> Column:
+    """M; W is F; anything else, and nothing, is X."""
+    return F.when(F.upper(text) == "M", "M").when(F.upper(text) == "W", "F").otherwise("X")
+
+
+def transport(text: Column) -> Column:
+    """G or A by a whole word; null for others."""
+    return F.when(F.lower(text).isin(*GROUND), "G").when(F.lower(text).isin(*AIR), "A")
+
+
+def assessment(kind: str, text: Column) -> Column:
+    """A word of the assessment's vocabulary by its synonyms, without its letter in front; other texts stay."""
+    plain = F.btrim(F.regexp_replace(text, r"^(?i)[A-D]-", ""), F.lit(BLANK))
+    plain = F.when(plain != "", plain)
+    low = F.lower(plain)
+    out = None
+    if kind == "disability":
+        out = F.when(low.rlike(r"^gcs\s*<\s*15$"), "gcs_below_15").when(low.rlike(r"^gcs\s*<\s*9$"), "gcs_below_9")
+    for word, synonyms in ASSESSMENTS[kind].items():
+        out = F.when(low.isin(*synonyms), word) if out is None else out.when(low.isin(*synonyms), word)
+    return out.otherwise(plain)
+
+
 def collapsed(text: Column) -> Column:
     """The form in which names are compared."""
-    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+    return F.lower(F.regexp_replace(F.btrim(text, F.lit(BLANK)), r"\s+", " "))
 
 
 def indication_key(code: Column, text: Column) -> Column:
-    return F.md5(F.concat_ws("_", code, collapsed(text)).cast("binary"))
+    """md5 of three digits and the collapsed text; no digits are none."""
+    digits = F.regexp_replace(F.coalesce(code.cast("string"), F.lit("")), r"\D+", "")
+    three = F.when(digits == "", F.lit("")).otherwise(F.lpad(F.substring(digits, 1, 3), 3, "0"))
+    return F.md5(F.concat(three, F.lit("_"), F.coalesce(collapsed(text), F.lit(""))).cast("binary"))
 
 
-def allocations(df: DataFrame) -> DataFrame:
-    """Typed columns of allocation rows beside the raw row as JSON."""
-    cells = ("krankenhaus_kurzname", "versorgungsbereich", "zuweisung_durch", "datum_erstellungsdatum", "uhrzeit_erstellungsdatum", "datum_eintreffzeit", "uhrzeit_eintreffzeit", "geschlecht", "alter", "transportmittel", "pzc", "pzc_und_text", "fachgebiet", "fachbereich", "ansteckungsfaehig", *FLAGS)
-    clean = F.struct(*[cell(df, n).alias(n) for n in cells], F.to_json(F.struct(*df.columns)).alias("row"))
-    df = df.select(F.explode(F.array(clean)).alias("c")).select("c.*")
-    c = F.col
-    gender = F.upper(F.substring(c("geschlecht"), 1, 1))
-    vehicle = F.upper(c("transportmittel"))
-    pzc = c("pzc")
-    digits = pzc.rlike(r"^\d{6}$")
-    source = F.when(c("zuweisung_durch").isNull() | c("zuweisung_durch").contains("Koordinierung"), c("versorgungsbereich")).otherwise(c("zuweisung_durch"))
+def case_hash(text: Column, secret: bytes) -> Column:
+    """HMAC-SHA-256 of a case id's digits; null without any. Two nested digests, as the construction says, so no Python runs."""
+    import hashlib
+
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in key) for pad in (0x36, 0x5C))
+    digits = F.regexp_replace(text, r"\D+", "")
+    hashed = F.unhex(F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), digits.cast("binary")), 256))), 256))
+    return F.when(digits != "", hashed)
+
+
+def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """Columns that are computed once: exploded from an array of one, so that later filters use the values instead of repeating their making."""
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("c")).select("c.*")
+
+
+def _common(df: DataFrame, flags: dict[str, str], missing: bool | None) -> list[Column]:
+    c = lambda n: cell(df, n)
+    source = F.when(c("zuweisung_durch").isNull() | c("zuweisung_durch").contains(COORDINATION), c("versorgungsbereich")).otherwise(c("zuweisung_durch"))
+    code = lambda n: F.when(c(n).rlike(r"^\d{6}$"), F.substring(c(n), 1, 3).try_cast("int"))
+    last = F.substring(c("pzc"), 6, 1)
     infection = c("ansteckungsfaehig")
-    typed = F.struct(
-        c("krankenhaus_kurzname").alias("hospital"), area_name(source).alias("dispatch_area"),
+    raw = [n for n in df.columns if not n.startswith("_")]
+    kept = [F.col(n) for n in ("_file", "_line") if n in df.columns]
+    return [
+        *[c(v).alias(k) for k, v in TEXTS.items()], area_name(source).alias("dispatch_area"),
         moment(c("datum_erstellungsdatum"), c("uhrzeit_erstellungsdatum")).alias("created_at"), moment(c("datum_eintreffzeit"), c("uhrzeit_eintreffzeit")).alias("arrival_at"),
-        F.when(gender == "M", "M").when(gender.isin("W", "F"), "F").when(gender.isNotNull(), "X").alias("gender"),
-        F.when(c("alter").rlike(r"^\d+$"), c("alter").try_cast("int")).alias("age"),
-        F.when(vehicle.rlike("^(BODEN|NAW|ITW|MZF|RTW)"), "G").when(vehicle.startswith("LUFT"), "A").alias("transport_type"),
-        F.when(digits & F.substring(pzc, 6, 1).isin("1", "2", "3"), F.substring(pzc, 6, 1).try_cast("int")).alias("urgency"), F.when(digits, F.substring(pzc, 1, 3).try_cast("int")).alias("code"), F.expr("substring(pzc_und_text, 5)").alias("indication"),
-        c("fachgebiet").alias("speciality"), c("fachbereich").alias("department"), F.when(~infection.isin(*NO_INFECTION), infection).alias("infection"),
-        *[F.coalesce(boolean(c(n)), F.lit(False)).alias(n) for n in FLAGS], c("row"),
-    )
-    # exploded from an array of one, so that later filters use the typed values instead of repeating their making
-    return df.select(F.explode(F.array(typed)).alias("t")).select("t.*")
+        number(c("alter")).alias("age"), transport(c("transportmittel")).alias("transport_type"),
+        F.when(c("pzc").rlike(r"^\d{6}$") & last.isin("1", "2", "3"), last.try_cast("int")).alias("urgency"), code("pzc").alias("code"), F.expr("substring(pzc_und_text, 5)").alias("indication") if "pzc_und_text" in df.columns else F.lit(None).cast("string").alias("indication"), code("neben_pzc").alias("secondary_code"),
+        F.when(~infection.isin(*NO_INFECTION), infection).alias("infection"),
+        *[(F.when(c(v).isNull(), F.lit(missing).cast("boolean")).otherwise(boolean(c(v)))).alias(k) for k, v in flags.items()],
+        *[assessment(k, c(k)).alias(f"assessment_{k}") for k in ASSESSMENTS], F.to_json(F.struct(*raw)).alias("row"), *kept,
+    ]
+
+
+def allocations(df: DataFrame) -> DataFrame:
+    """Typed columns of allocation rows beside the raw row as JSON. A missing flag is false, an unknown word none."""
+    return _once(df, [*_common(df, FLAGS, False), gender(cell(df, "geschlecht")).alias("gender")]).drop("mci_title", "mci_id")
+
+
+def mass_casualties(df: DataFrame) -> DataFrame:
+    """Typed columns of mass-casualty rows: flags and gender may be missing."""
+    flags = dict(list(FLAGS.items())[:-2])
+    text = cell(df, "geschlecht")
+    return _once(df, [*_common(df, flags, None), F.when(text.isNotNull(), gender(text)).alias("gender")])
+
+
+def routed(df: DataFrame) -> dict[str, DataFrame]:
+    """Rows by their type; those of none are rejects."""
+    typed = df.withColumn("_type", row_type(df))
+    return {"allocations": typed.where("_type = 'ALLOCATION'").drop("_type"), "mass_casualties": typed.where("_type = 'MCI_CASE'").drop("_type"), "untyped": typed.where("_type IS NULL").drop("_type")}
+
+
+#: What must hold: field, reason, condition under which a row is wrong.
+RULES = (
+    ("hospital", "must not be blank", "hospital IS NULL"), ("dispatch_area", "must not be blank", "dispatch_area IS NULL OR dispatch_area = ''"), ("created_at", "must be a date and a time", "created_at IS NULL"), ("arrival_at", "must be a date and a time", "arrival_at IS NULL"),
+    ("arrival_at", "must not be before created_at", "arrival_at < created_at"), ("age", "must be between 1 and 99", "age IS NULL OR age NOT BETWEEN 1 AND 99"), ("urgency", "must be between 1 and 3", "urgency IS NULL"),
+    ("code", "must be between 100 and 999", "code IS NULL OR code NOT BETWEEN 100 AND 999"), ("indication", "must not be blank", "indication IS NULL OR trim(indication) = ''"), ("secondary_code", "must be between 100 and 999", "secondary_code NOT BETWEEN 100 AND 999"),
+    ("speciality", "must not be blank", "speciality IS NULL"), ("department", "must not be blank", "department IS NULL"), ("assignment", "must not be blank", "assignment IS NULL"), ("notes", "must have 255 characters at most", "length(notes) > 255"),
+    *((name, "must be yes or no", f"{name} IS NULL") for name in FLAGS),
+)
 
 
 def messages() -> Column:
-    """Everything that is wrong with a typed row."""
-    rules = {
-        "hospital: must not be blank": "hospital IS NULL", "dispatch_area: must not be blank": "dispatch_area IS NULL OR dispatch_area = ''", "created_at: must be a date and a time": "created_at IS NULL", "arrival_at: must be a date and a time": "arrival_at IS NULL",
-        "arrival_at: must not be before created_at": "arrival_at < created_at", "gender: must be known": "gender IS NULL", "age: must be between 1 and 99": "age IS NULL OR age NOT BETWEEN 1 AND 99", "urgency: must be between 1 and 3": "urgency IS NULL",
-        "code: must be between 100 and 999": "code IS NULL OR code NOT BETWEEN 100 AND 999", "transport_type: must be G or A": "transport_type IS NULL", "speciality: must not be blank": "speciality IS NULL", "department: must not be blank": "department IS NULL",
-    }
-    return F.array_compact(F.array(*[F.when(F.expr(c), F.lit(m)) for m, c in rules.items()]))
+    """Everything that is wrong with a typed row: field, reason and the typed value as text."""
+    return F.array_compact(F.array(*[F.when(F.expr(c), F.struct(F.lit(f).alias("field"), F.lit(m).alias("reason"), F.col(f).cast("string").alias("value"))) for f, m, c in RULES]))
 
 
 def validated(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and rejects with their messages and the raw row."""
     checked = typed.select("*", F.explode(F.array(messages())).alias("messages"))
-    return checked.where("size(messages) = 0").drop("messages"), checked.where("size(messages) > 0").select("messages", "row")
+    places = [c for c in ("_file", "_line") if c in typed.columns]
+    return checked.where("size(messages) = 0").drop("messages"), checked.where("size(messages) > 0").select("messages", "row", *places)
+
 
+def said(messages_: Column) -> Column:
+    """Messages as one text."""
+    return F.array_join(F.transform(messages_, lambda m: F.concat(m["field"], F.lit(": "), m["reason"])), " | ")
 
-def resolved(rows: DataFrame, reference: DataFrame, name: str, out: str) -> DataFrame:
-    """The id of a reference table's entry (id, name) of the same name but for case and blanks; null without one."""
+
+def resolved(rows: DataFrame, reference: DataFrame, name: str, out: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The id of a reference table's entry (id, name) of the same name but for case and blanks, or of its alias; null without one."""
     known = reference.groupBy(collapsed(F.col("name")).alias("_key")).agg(F.min("id").alias(out))
-    return rows.join(known, collapsed(F.col(name)) == F.col("_key"), "left").drop("_key")
+    key = collapsed(F.col(name))
+    for alias, meant in (aliases or {}).items():
+        key = F.when(key == alias, F.lit(meant)).otherwise(key)
+    return rows.join(known, key == F.col("_key"), "left").drop("_key")
+
+
+def referenced(rows: DataFrame, references: dict[str, tuple[DataFrame, dict[str, str]]]) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id for each named field that isn't null, and rejects with a field whose name nobody knows. references: field -> (table, aliases)."""
+    for field, (table, aliases) in references.items():
+        rows = resolved(rows, table, field, f"{field}_id", aliases)
+    lost = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & F.col(f"{f}_id").isNull(), F.struct(F.lit(f).alias("field"), F.lit("is not known").alias("reason"), F.col(f).alias("value"))) for f in references]))
+    checked = rows.select("*", F.explode(F.array(lost)).alias("messages"))
+    places = [c for c in ("_file", "_line") if c in rows.columns]
+    return checked.where("size(messages) = 0").drop("messages"), checked.where("size(messages) > 0").select("messages", "row", *places)
+
+
+def with_raw_indications(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the keys of their raw indications and the normalised ids that those have, and the raw indications that are new.
+
+    known: raw_key, normalized_id. A secondary one needs a code and a text.
+    """
+    second = F.col("secondary_code").isNotNull() & (F.coalesce(F.trim("secondary_indication"), F.lit("")) != "")
+    rows = rows.withColumns({"raw_key": F.when(F.col("code").isNotNull() & F.col("indication").isNotNull(), indication_key(F.col("code"), F.col("indication"))), "secondary_raw_key": F.when(second, indication_key(F.col("secondary_code"), F.col("secondary_indication")))})
+    both = rows.select(F.expr("stack(2, raw_key, code, indication, secondary_raw_key, secondary_code, secondary_indication) AS (raw_key, code, name)")).where("raw_key IS NOT NULL")
+    new = both.groupBy("raw_key").agg(F.min(F.struct("name", "code")).alias("n")).select("raw_key", "n.code", "n.name").join(known, "raw_key", "left_anti")
+    first, other = (known.select(F.col("raw_key").alias(k), F.col("normalized_id").alias(v)) for k, v in (("raw_key", "indication_id"), ("secondary_raw_key", "secondary_indication_id")))
+    return rows.join(first, "raw_key", "left").join(other, "secondary_raw_key", "left"), new
 
 
 def reject_groups(rejects: DataFrame) -> DataFrame:
-    """Messages by field and reason: how many, and the least example."""
-    m = rejects.select(F.explode("messages").alias("reason"), "row")
-    field = F.coalesce(*[F.nullif(F.regexp_extract("reason", p, 1), F.lit("")) for p in (r"\bfield=([A-Za-z0-9_.]+)", r'\bfor "([A-Za-z0-9_.]+)"', r"^\[?([A-Za-z0-9_.]+)\]?:\s")], F.lit("unknown"))
-    return m.groupBy(field.alias("field"), "reason").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("example")).orderBy(F.desc("n"), "field", "reason")
+    """Messages by field, value and reason: how many, and the least example; most frequent first."""
+    m = rejects.select(F.explode("messages").alias("m"), "row").select("m.*", "row")
+    return m.groupBy("field", "value", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("example")).orderBy(F.desc("n"), "field", "value", "reason")
+
+
+def rejects_markdown(groups: DataFrame) -> DataFrame:
+    """The groups as lines of a Markdown table."""
+    text = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    return groups.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[text(c) for c in ("field", "value", "reason", "n")]), F.lit(" |")).alias("line"))
+
+
+def write_rejects(rejects: DataFrame, path: str, kind: str = "csv") -> None:
+    """Rejects with their place, messages and raw row, as CSV (no cell is a formula), JSON or Parquet."""
+    places = [F.col(c).alias(c.strip("_")) for c in ("_file", "_line") if c in rejects.columns]
+    flat = rejects.select(*places, escaped(said(F.col("messages"))).alias("messages"), (escaped(F.col("row")) if kind == "csv" else F.col("row")).alias("row"))
+    flat.write.format(kind).options(**({"header": True, "escape": '"'} if kind == "csv" else {})).save(path)
 
 
 def outcome(total: int, rejected: int) -> str:

@@ -1,4 +1,4 @@
-"""Files that keep arriving: each micro-batch is validated and appended by import, rejects aside."""
+"""Files that keep arriving: each micro-batch is routed by row type, validated and appended by import, rejects aside."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.csv_import import allocations, validated
+from ..sources.csv_import import allocations, mass_casualties, routed, validated
 
 
 def ingest(spark: SparkSession, source: str, columns: list[str], to: str, checkpoint: str) -> StreamingQuery:
@@ -15,8 +15,11 @@ def ingest(spark: SparkSession, source: str, columns: list[str], to: str, checkp
     stream = spark.readStream.schema(schema).options(sep=";", header=True, escape="\\").csv(source)
 
     def batch(df: DataFrame, number: int) -> None:
-        typed = allocations(df).persist()  # both writes use it
-        for name, rows in zip(("valid", "rejects"), validated(typed), strict=True):
+        parts = routed(df)
+        typed = allocations(parts["allocations"]).persist()  # both writes use it
+        valid, rejects = validated(typed)
+        untyped = parts["untyped"].select(F.array(F.struct(F.lit("row").alias("field"), F.lit("has no known type").alias("reason"), F.lit(None).cast("string").alias("value"))).alias("messages"), F.to_json(F.struct(*df.columns)).alias("row"))
+        for name, rows in (("valid", valid), ("rejects", rejects.select("messages", "row").unionByName(untyped)), ("mass_casualties", mass_casualties(parts["mass_casualties"]))):
             rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{to}/{name}")
         typed.unpersist()
 
