@@ -87,9 +87,14 @@ def heads(spark: SparkSession, path: str) -> dict[str, bytes]:
 def composed(df: DataFrame) -> DataFrame:
     """All text columns in Unicode's composed form (NFC)."""
 
+    def whole(column: pa.Array) -> pa.Array:
+        if not pa.types.is_string(column.type) or pc.all(pc.string_is_ascii(column)).as_py() is not False:
+            return column
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in column.to_pylist()], pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pc.utf8_normalize(c, form="NFC") if pa.types.is_string(c.type) else c for c in batch.columns], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([whole(c) for c in batch.columns], batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
