@@ -88,10 +88,10 @@ class Merges:
 
 
 class Cached:
-    """Ids of units of text as little-endian 32-bit bytes, remembered up to ``most`` units."""
+    """Ids of units of text as little-endian 32-bit bytes. Units of up to ``longest`` characters are remembered, ``most`` of them."""
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
+    def __init__(self, most: int = 400_000, longest: int = 64):
+        self.most, self.longest, self.known = most, longest, {}
 
     def units(self, units: list[str]) -> list[bytes]:
         got = list(map(self.known.get, units))
@@ -105,7 +105,7 @@ class Cached:
             fresh = {u: data[a:b] for u, a, b in zip(new, (ends - lens * 4).tolist(), ends.tolist(), strict=True)}
             for i in missed:
                 got[i] = fresh[units[i]]
-            self.known.update(fresh)
+            self.known.update((u, x) for u, x in fresh.items() if len(u) <= self.longest)
         return got
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,28 +241,49 @@ def loose(data: bytes) -> str:
     return "".join(out)
 
 
-class WordModel(Cached):
-    """A lower-casing byte-level BPE with word ends, from a tokenizers file.
+class LibraryWords(Cached):
+    """The tokenizers library's ids, asked for each unit once: white space parts units and is dropped.
 
-    Texts of Latin letters (below U+0250) are split here and merged in numpy; a text
-    with another character, or with a special token's opening, goes to the library whole.
+    Texts of Latin letters (below U+0250) are split; a text with another character, or with a
+    special token's opening, goes to the library whole.
     """
 
     LIMIT = 0x250
 
     def __init__(self, path: str, **more):
-        import json
-
         from tokenizers import Tokenizer
 
         super().__init__(**more)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.safe = [c for c in map(chr, range(self.LIMIT)) if not "\x1c" <= c <= "\x1f" and all(ord(x) < self.LIMIT for x in c.lower()) and c != "İ"]
+        self.unsafe = re.compile(f"[^{re.escape(''.join(self.safe))}]")
+
+    def split(self, text: str) -> list[str] | None:
+        if (not text.isascii() or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and ("<|" in text or self.unsafe.search(text)):
+            return None
+        return text.split()
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch(units, add_special_tokens=False)]
+        return np.array([i for f in found for i in f], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+
+class WordModel(LibraryWords):
+    """A lower-casing byte-level BPE with word ends, from a tokenizers file, with units merged in numpy."""
+
+    def __init__(self, path: str, **more):
+        import json
+
+        super().__init__(path, **more)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != "</w>" or model["dropout"] or [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("only lower-casing BPE files with word ends are supported")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right, made = (np.array([vocab[f(p)] for p in pairs], np.int64) for f in (lambda p: p[0], lambda p: p[1], "".join))
@@ -273,18 +294,10 @@ class WordModel(Cached):
         letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[letter[b] + "</w>"] for b in range(256)], np.int32)
-        chars = [chr(c) for c in range(self.LIMIT)]
-        kind = {c: unicodedata.category(c)[0] for c in chars}
-        safe = [c for c in chars if not "\x1c" <= c <= "\x1f" and all(ord(x) < self.LIMIT for x in c.lower()) and c != "İ"]
-        self.unsafe = re.compile(f"[^{re.escape(''.join(safe))}]")
-        letters, numbers = (re.escape("".join(c for c in safe if kind[c] == k)) for k in "LN")
+        kind = {c: unicodedata.category(c)[0] for c in self.safe}
+        letters, numbers = (re.escape("".join(c for c in self.safe if kind[c] == k)) for k in "LN")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+")
 
-    def split(self, text: str) -> list[str] | None:
-        if (not text.isascii() or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")) and ("<|" in text or self.unsafe.search(text)):
-            return None
-        return text.split()
-
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [self.words.findall(u.lower()) for u in units]
         raw = [w.encode() for f in found for w in f]
@@ -296,6 +309,3 @@ class WordModel(Cached):
         sym, lens = self.merges.encode(sym, lens)
         of = np.repeat(np.arange(len(units)), np.fromiter(map(len, found), np.int64, len(found)))
         return sym, np.bincount(of, weights=lens, minlength=len(units)).astype(np.int64)
-
-    def encode_whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids

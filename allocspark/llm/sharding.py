@@ -11,7 +11,8 @@ by a narrow lookup and a numbering within cells.
 With no slack, capacities add up to the number of rows and the counts of two shards differ
 by one at most: the law ``rows``. With slack, less moves when a shard is added.
 
-Null doc_ids are a key of their own; rows of equal key and text are told apart by nothing
+A row's key on the ring is its doc_id with the size and crc32 of its text, so that many rows
+of one doc_id (or of none) are spread. Rows of equal key and text are told apart by nothing
 and share their places in some order. An empty table gives no rows.
 """
 
@@ -101,7 +102,7 @@ def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
 
     raw = F.coalesce(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"), F.lit(b""))
     rows = df.select(F.col(key).alias("doc_id"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    ring = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 64 - RING_BITS)
+    ring = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "size", "text_crc32"), 64 - RING_BITS)
     rows = rows.withColumn("ring", ring)
     # The cell by division, then the few cuts inside it by a short lookup.
     inner: dict[int, list[int]] = {}

@@ -1,19 +1,23 @@
 """Token-ID files (operator 9).
 
-Documents are dealt out by ranges of doc_id, encoded in place, and packed into segments of
-patched frame-of-reference blocks (see ``pfor``). The segments are the rows of a table
+Documents are dealt out by ranges of doc_id (and of a hash of the text, where many share
+one), encoded, and packed into segments of patched frame-of-reference blocks (see ``pfor``).
+The ids are the tokenizers library's: it encodes every text that holds more than Latin
+letters; the words of the others are merged in numpy, which is held against the library and
+takes under half of its time (``bpe.LibraryWords`` asks it for each word). The segments are the rows of a table
 with one binary column beside their keys, so Spark's commit protocol writes them: a task
 that is run again leaves one copy, and any store will do. Reading needs no order: a
 segment knows its range partition and the values before it there, and the few sums by
 partition give its place among all ids.
 
 Null and empty texts give the end id alone. Rows of equal doc_id lie next to each other in
-some order; null doc_ids come first.
+the order of their texts' hashes; null doc_ids come first.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +38,8 @@ SEGMENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("
 
 @functools.lru_cache(maxsize=1)
 def model(path: str) -> WordModel:
-    """One for each Python worker, whatever number of tasks it runs."""
+    """One for each Python worker, whatever number of tasks it runs; the library's own threads are off, as tasks share the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordModel(path)
 
 
@@ -78,7 +83,7 @@ def write(df: DataFrame, path: str, to: str, end_id: int = 2, key: str = "doc_id
         if keys:
             yield segment()
 
-    ordered = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shuffle_partitions(df.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ordered = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text")).repartitionByRange(shuffle_partitions(df.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(run, SEGMENTS).write.parquet(to)
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from allocspark.llm import pfor, secret_scan, sharding, suffix_runs, toxicity
-from allocspark.llm.bpe import PieceModel, WordModel
+from allocspark.llm.bpe import LibraryWords, PieceModel, WordModel
 from allocspark.llm.shingles import shingle_sets
 
 ODD = ["", " ", "  ", "a ", " a", "▁a", "\n", " \n a", "x" + " " * 17 + "y", "<s></s><0x0A>", "<|endoftext|>", "it's WE'VE", "İΣσıßẞ½²", "日本語🙂", "a\x00b\x1cc", "é", "thereand " * 50]
@@ -49,6 +49,7 @@ def test_words_as_the_library(odd):
 
     own, lib = WordModel(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     assert [ids(x) for x in own.encode_texts(odd)] == [e.ids for e in lib.encode_batch(odd, add_special_tokens=False)]
+    assert [ids(x) for x in LibraryWords(P.path("word_bpe_49k.json")).encode_texts(odd)] == [ids(x) for x in own.encode_texts(odd)]
     safe = "".join(f"a{chr(c)}b {chr(c)}{chr(c)} " for c in range(0x250))
     assert ids(own.encode_texts([safe])[0]) == lib.encode(safe, add_special_tokens=False).ids
 
