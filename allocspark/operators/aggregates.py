@@ -110,6 +110,10 @@ QUERIES: dict[str, Pair] = {
     **{f"features_{n}": aggregate({k: count(c) for k, c in S.FEATURES.items()} | {"with_any": count(" OR ".join(f"coalesce({c}, FALSE)" if "NULL" not in c else c for c in S.FEATURES.values()))}, {"at": k}) for n, k in (("month", MONTH), ("day", DAY), ("calendar_month", CAL))},
     **{f"resources_{n}": aggregate({k: count(c) for k, c in S.RESOURCES.items()} | {"with_any": count("coalesce(requires_resus, FALSE) OR coalesce(requires_cathlab, FALSE)")}, {"at": k}) for n, k in (("month", MONTH), ("day", DAY), ("calendar_month", CAL))},
     "first_year": aggregate({"year": "min(created_year)", "before": count("created_year < 1997")}),
+    "first_day": aggregate({"day": (DAY[0].replace("created_at", "min(created_at)"), DAY[1].replace("created_at", "min(created_at)")), "before": ("count_if(created_at < TIMESTAMP_NTZ '1997-05-17 00:00:00')", "count(*) FILTER (WHERE created_at < TIMESTAMP '1997-05-17')")}),
+    **{f"series_year{suffix}": aggregate({"n": "count(*)"}, {"at": "created_year"} | keys, where) for suffix, keys, where in (("", {}, ""), ("_by_gender", {"key": S.text("gender_code")}, "gender_code IS NOT NULL"), ("_by_urgency", {"key": S.text("urgency_code")}, "urgency_code IS NOT NULL"))},
+    "catalog_dates": aggregate({"n": "count(*)", **{k: (DAY[0].replace("created_at", f"{f}(created_at)"), DAY[1].replace("created_at", f"{f}(created_at)")) for k, f in (("first", "min"), ("last", "max"))}}, {"infection_id": "infection_id"}, "infection_id IS NOT NULL"),
+    "profile_unknown": aggregate({"n": "count(*)", "without_times": count("minutes IS NULL"), "negative": count("rounded_minutes < 0")}, where=f"({S.minute_buckets()}) = '{S.UNKNOWN}'"),
     "indication_metrics": aggregate(headline(INDICATION, "ind_") | age_counts(INDICATION, "ind_") | middles(INDICATION, "ind_") | headline(OTHER, "base_") | middles(OTHER, "base_")),
     "indication_group_members": aggregate({"total": "count(*)", "resus": count("requires_resus"), "cpr": count("is_cpr"), "emergencies": count("urgency_code = 1")}, {"indication": "indication_id"}, INDICATION),
     "indication_compare": aggregate(headline(SIDE_A, "a_") | middles(SIDE_A, "a_") | headline(SIDE_B, "b_") | middles(SIDE_B, "b_"), where=f"{SIDE_A} OR {SIDE_B}"),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
+from ..plans.analysis import analyse, by_grain, pivoted, table_percents, top_with_rest, totals
+from ..plans.spec import Analysis
 from ..sources.binding import duck_with, facts, hospitals
 from .aggregates import COMPARISON, INDICATION, PRIMARY, SIDE_A, SIDE_B, Pair, count
 
@@ -122,6 +124,20 @@ def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hospitals(spark, sf_dir).select("hospital_id", "hospital_name").orderBy("hospital_name", "hospital_id").offset(20).limit(10)
 
 
+def _counts(spark: SparkSession, d: str, bucket: str, series: str) -> DataFrame:
+    """Counts by two dimensions, as the explorer shows them."""
+    return analyse(Analysis(bucket, series), facts(spark, d), hospitals(spark, d))
+
+
+def catalog_share(spark: SparkSession, d: str) -> DataFrame:
+    """Each department's share of all allocations; a count from 1 to 4 isn't shown, nor its share."""
+    n = facts(spark, d).groupBy("department_id").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a row a department
+    shown = (F.col("n") == 0) | (F.col("n") >= 5)
+    return n.withColumn("t", total).select("department_id", F.when(shown, F.col("n")).alias("n"), F.when(shown, F.round(100 * F.col("n").cast("double") / F.col("t"), 2)).alias("share"))
+
+
+_CELLS = duck_with("c AS (SELECT CAST(created_weekday AS VARCHAR) AS bucket, CAST(gender_code AS VARCHAR) AS series, count(*) AS count FROM fact WHERE gender_code IS NOT NULL GROUP BY 1, 2)")
 COUNT = {"n": "count(*)"}
 SIDES = {"n1": count(PRIMARY), "n2": count(COMPARISON)}
 QUERIES: dict[str, Pair] = {
@@ -131,6 +147,13 @@ QUERIES: dict[str, Pair] = {
     "benchmark_slice": sliced([MINUTES, TYPE, *PEOPLE, *HEAT, ("indication", "indication_id", None), ("speciality", "speciality_id", None), ("month", "created_month", None)], SIDES, f"({PRIMARY}) OR ({COMPARISON})"),
     "profile_slice": sliced([MINUTES, *[(f"{n}_by_minutes", "minutes_bucket", c) for n, c in (("gender", "gender_code"), ("urgency", "urgency_code"), ("type", "transport_type_code"))]], COUNT | {"physician": count("is_with_physician"), "resus": count("requires_resus"), "cathlab": count("requires_cathlab")}),
     "profile_top": (profile_top, PROFILE_TOP),
+    "explorer_pivot": (lambda spark, d: pivoted(_counts(spark, d, "weekday", "gender"), columns=["1", "2", "3"]), _CELLS + "SELECT bucket, " + ", ".join(f"coalesce(CAST(sum(count) FILTER (WHERE series = '{k}') AS BIGINT), 0) AS \"{k}\"" for k in (1, 2, 3)) + " FROM c GROUP BY 1"),
+    "explorer_totals": (lambda spark, d: totals(_counts(spark, d, "weekday", "gender")).drop("level"), _CELLS + "SELECT bucket, series, CAST(sum(count) AS BIGINT) AS count FROM c GROUP BY CUBE (bucket, series)"),
+    "explorer_top_with_rest": (lambda spark, d: top_with_rest(_counts(spark, d, "weekday", "gender"), 5), _CELLS + "SELECT CASE WHEN r <= 5 THEN bucket ELSE 'other' END AS bucket, CAST(sum(t) AS BIGINT) AS count FROM (SELECT bucket, sum(count) AS t, row_number() OVER (ORDER BY sum(count) DESC, bucket) AS r FROM c GROUP BY 1) GROUP BY 1"),
+    "explorer_percents": (lambda spark, d: table_percents(_counts(spark, d, "weekday", "gender")), _CELLS + "SELECT *, round(100 * count::DOUBLE / sum(count) OVER (), 2) AS of_total, round(100 * count::DOUBLE / sum(count) OVER (PARTITION BY bucket), 2) AS of_row FROM c"),
+    "explorer_by_week": (lambda spark, d: by_grain(Analysis("gender"), "week", facts(spark, d), hospitals(spark, d)), duck_with() + "SELECT CAST(created_week AS VARCHAR) AS bucket, count(*) AS count FROM fact GROUP BY 1"),
+    "explorer_total": (lambda spark, d: by_grain(Analysis("gender", metrics=("count", "mean_transport_time")), "total", facts(spark, d), hospitals(spark, d)), duck_with() + "SELECT count(*) AS count, round(avg(minutes), 6) AS mean_transport_time FROM fact"),
+    "catalog_share": (catalog_share, duck_with("n AS (SELECT department_id, count(*) AS n FROM fact GROUP BY 1)") + "SELECT department_id, CASE WHEN n >= 5 THEN n END AS n, CASE WHEN n >= 5 THEN round(100 * n::DOUBLE / (SELECT sum(n) FROM n), 2) END AS share FROM n"),
     "profile_rank_shift": (rank_shift, RANK_SHIFT),
     "top_entities": (lambda spark, d: top_entities(facts(spark, d), 10), _top_duck(10)),
     "top_diagnoses": (lambda spark, d: top_entities(facts(spark, d).where("created_year = 1997"), 25).where("entity = 'indication'"), f"SELECT * FROM ({_top_duck(25, 'created_year = 1997')}) WHERE entity = 'indication'"),
