@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates", "slices", "usage", "maintenance", "listing", "upkeep", "benchmark", "population", "imports")
+MODULES = ("aggregates", "slices", "usage", "maintenance", "listing", "upkeep", "benchmark", "population", "imports", "reports")
 
 
 def _all() -> dict:
