@@ -170,6 +170,7 @@ def findings(n: int, seed: int, only: int | None = None) -> tuple[list[tuple[str
         lambda: f"{word()}_{word()}_{word()}_{r.randint(1, 999)}_{word()}",
         lambda: pick(low, r.randint(2, 3)) + "-".join(word() for _ in range(4)) + str(r.randint(0, 9)),
         lambda: "".join(word() for _ in range(12))[: r.randint(24, 45)],
+        lambda: (pick(low, r.randint(1, 4)) * 50)[: r.randint(24, 60)],
         lambda: f"{word()}{r.randint(1, 99)}{r.choice('.@_-')}{word()}{r.choice(('', str(r.randint(1, 2030))))}.{r.choice(('com', 'org', 'example'))}",
         lambda: f"{word().title()}{word().title()}.{word()}",
         lambda: f"{r.choice(('v', 'rev', 'RFC', 'ISO', 'EN-', 'page'))}{r.randint(1, 9999)}-{r.randint(1, 2030)}.{word()}",
