@@ -90,7 +90,7 @@ class Merges:
 class Cached:
     """Ids of units of text as little-endian 32-bit bytes. Units of up to ``longest`` characters are remembered, ``most`` of them."""
 
-    def __init__(self, most: int = 400_000, longest: int = 64):
+    def __init__(self, most: int = 250_000, longest: int = 64):
         self.most, self.longest, self.known = most, longest, {}
 
     def units(self, units: list[str]) -> list[bytes]:

@@ -58,10 +58,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return df.mapInArrow(run, _schema(df, out, T.StringType()))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add ids and their decoding, ``decoded``, in one pass: each task needs one worker and one model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(batch.schema.get_field_index(text)))
+            for a, b in slices(texts):
+                ids = model(path).encode_texts(texts[a:b])
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                back = [model(path).decode(np.frombuffer(x, "<i4").tolist()) for x in ids]
+                yield replaced(batch.slice(a, b - a), {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4"))), "decoded": pa.array(back, pa.string())})
+
+    return df.mapInArrow(run, _schema(df.drop("ids", "decoded"), "ids", T.ArrayType(T.IntegerType())).add(T.StructField("decoded", T.StringType())))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of their decoding."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return decode(ids, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
