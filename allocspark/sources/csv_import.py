@@ -175,10 +175,13 @@ def transport(text: Column) -> Column:
     return F.when(F.lower(text).isin(*GROUND), "G").when(F.lower(text).isin(*AIR), "A")
 
 
-def assessment(kind: str, text: Column) -> Column:
-    """A word of the assessment's vocabulary by its synonyms, without its letter in front; other texts stay."""
-    plain = F.btrim(F.regexp_replace(text, r"^(?i)[A-D]-", ""), F.lit(BLANK))
-    plain = F.when(plain != "", plain)
+def unlettered(text: Column) -> Column:
+    """An assessment without its letter in front; null where nothing is left."""
+    return F.nullif(F.btrim(F.regexp_replace(text, r"^(?i)[A-D]-", ""), F.lit(BLANK)), F.lit(""))
+
+
+def assessment(kind: str, plain: Column) -> Column:
+    """A word of the assessment's vocabulary by its synonyms; other texts stay."""
     low = F.lower(plain)
     out = None
     if kind == "disability":
@@ -216,35 +219,45 @@ def _once(df: DataFrame, columns: list[Column]) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*columns))).alias("c")).select("c.*")
 
 
+#: Columns that rules look at beside texts, flags and assessments.
+OTHERS = ("zuweisung_durch", "versorgungsbereich", "datum_erstellungsdatum", "uhrzeit_erstellungsdatum", "datum_eintreffzeit", "uhrzeit_eintreffzeit", "geschlecht", "alter", "transportmittel", "pzc", "pzc_und_text", "neben_pzc", "ansteckungsfaehig")
+
+
+def _cleaned(df: DataFrame) -> DataFrame:
+    """All cells that rules look at, trimmed, null where blank or missing, and the raw row as JSON."""
+    raw = [n for n in df.columns if not n.startswith("_")]
+    places = [F.col(n) for n in ("_file", "_line") if n in df.columns]
+    cells = [cell(df, n).alias(n) for n in dict.fromkeys((*OTHERS, *TEXTS.values(), *FLAGS.values()))]
+    return _once(df, [*cells, *[unlettered(cell(df, k)).alias(k) for k in ASSESSMENTS], F.to_json(F.struct(*raw)).alias("row"), *places])
+
+
 def _common(df: DataFrame, flags: dict[str, str], missing: bool | None) -> list[Column]:
-    c = lambda n: cell(df, n)
+    c = F.col
     source = F.when(c("zuweisung_durch").isNull() | c("zuweisung_durch").contains(COORDINATION), c("versorgungsbereich")).otherwise(c("zuweisung_durch"))
     code = lambda n: F.when(c(n).rlike(r"^\d{6}$"), F.substring(c(n), 1, 3).try_cast("int"))
     last = F.substring(c("pzc"), 6, 1)
     infection = c("ansteckungsfaehig")
-    raw = [n for n in df.columns if not n.startswith("_")]
-    kept = [F.col(n) for n in ("_file", "_line") if n in df.columns]
     return [
         *[c(v).alias(k) for k, v in TEXTS.items()], area_name(source).alias("dispatch_area"),
         moment(c("datum_erstellungsdatum"), c("uhrzeit_erstellungsdatum")).alias("created_at"), moment(c("datum_eintreffzeit"), c("uhrzeit_eintreffzeit")).alias("arrival_at"),
         number(c("alter")).alias("age"), transport(c("transportmittel")).alias("transport_type"),
-        F.when(c("pzc").rlike(r"^\d{6}$") & last.isin("1", "2", "3"), last.try_cast("int")).alias("urgency"), code("pzc").alias("code"), F.expr("substring(pzc_und_text, 5)").alias("indication") if "pzc_und_text" in df.columns else F.lit(None).cast("string").alias("indication"), code("neben_pzc").alias("secondary_code"),
+        F.when(c("pzc").rlike(r"^\d{6}$") & last.isin("1", "2", "3"), last.try_cast("int")).alias("urgency"), code("pzc").alias("code"), F.expr("substring(pzc_und_text, 5)").alias("indication"), code("neben_pzc").alias("secondary_code"),
         F.when(~infection.isin(*NO_INFECTION), infection).alias("infection"),
-        *[(F.when(c(v).isNull(), F.lit(missing).cast("boolean")).otherwise(boolean(c(v)))).alias(k) for k, v in flags.items()],
-        *[assessment(k, c(k)).alias(f"assessment_{k}") for k in ASSESSMENTS], F.to_json(F.struct(*raw)).alias("row"), *kept,
+        *[F.when(c(v).isNull(), F.lit(missing).cast("boolean")).otherwise(boolean(c(v))).alias(k) for k, v in flags.items()],
+        *[assessment(k, c(k)).alias(f"assessment_{k}") for k in ASSESSMENTS], c("row"), *[c(n) for n in ("_file", "_line") if n in df.columns],
     ]
 
 
 def allocations(df: DataFrame) -> DataFrame:
     """Typed columns of allocation rows beside the raw row as JSON. A missing flag is false, an unknown word none."""
-    return _once(df, [*_common(df, FLAGS, False), gender(cell(df, "geschlecht")).alias("gender")]).drop("mci_title", "mci_id")
+    clean = _cleaned(df)
+    return _once(clean, [*_common(clean, FLAGS, False), gender(F.col("geschlecht")).alias("gender")]).drop("mci_title", "mci_id")
 
 
 def mass_casualties(df: DataFrame) -> DataFrame:
     """Typed columns of mass-casualty rows: flags and gender may be missing."""
-    flags = dict(list(FLAGS.items())[:-2])
-    text = cell(df, "geschlecht")
-    return _once(df, [*_common(df, flags, None), F.when(text.isNotNull(), gender(text)).alias("gender")])
+    flags, clean, text = dict(list(FLAGS.items())[:-2]), _cleaned(df), F.col("geschlecht")
+    return _once(clean, [*_common(clean, flags, None), F.when(text.isNotNull(), gender(text)).alias("gender")])
 
 
 def routed(df: DataFrame) -> dict[str, DataFrame]:

@@ -65,9 +65,9 @@ def test_rules_of_cells(spark):
     assert each(C.boolean, "S+", "R-", "Ja", "schwanger", "N", "vielleicht", None) == [True, False, True, True, False, None, None]
     assert each(C.number, "7", "7.9", "1e1", "alt", None) == [7, 7, 10, None, None]
     assert [str(x) for x in each(lambda c: C.moment(c, F.lit("08:09:10")), "01.02.69", "1.2.70", "01.02.2003", "30.02.2003", "2003-02-01")] == ["2069-02-01 08:09:00", "1970-02-01 08:09:00", "2003-02-01 08:09:00", "None", "None"]
-    assert each(lambda c: C.assessment("airway", c), "A-frei", "krit.", "Tubus", "B-", None) == ["free", "critical", "Tubus", None, None]
-    assert each(lambda c: C.assessment("disability", c), "D-GCS<15", "gcs  < 9", "wach", "GCS 3") == ["gcs_below_15", "gcs_below_9", "awake", "GCS 3"]
-    assert each(lambda c: C.assessment("circulation", c), "C-laufende Rea", "stabil u. Med.") == ["cpr", "medication"]
+    assert each(lambda c: C.assessment("airway", C.unlettered(c)), "A-frei", "krit.", "Tubus", "B-", None) == ["free", "critical", "Tubus", None, None]
+    assert each(lambda c: C.assessment("disability", C.unlettered(c)), "D-GCS<15", "gcs  < 9", "wach", "GCS 3") == ["gcs_below_15", "gcs_below_9", "awake", "GCS 3"]
+    assert each(lambda c: C.assessment("circulation", C.unlettered(c)), "C-laufende Rea", "stabil u. Med.") == ["cpr", "medication"]
     assert each(C.area_name, "Leitstelle Aachtal", "Kreis Bergen (alt)", "Cella - Kreis", " ") == ["Aachtal", "Bergen", "Cella", ""]
     for secret in (b"key", b"k" * 100):
         assert each(lambda c, s=secret: C.case_hash(c, s), "E-12 3", "none", None) == [hmac.new(secret, b"123", "sha256").digest(), None, None]
