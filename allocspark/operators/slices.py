@@ -14,13 +14,20 @@ from .aggregates import COMPARISON, INDICATION, PRIMARY, SIDE_A, SIDE_B, Pair, c
 Kind = tuple[str, str, str | None]
 
 
-def grouping_slice(rows: DataFrame, kinds: list[Kind], values: dict[str, str], skip_null: tuple[str, ...] = ()) -> DataFrame:
-    """slice_kind, dim1, dim2 and values for each kind (name, key, second key), from one aggregation over grouping sets."""
+def grouping_slice(rows: DataFrame, kinds: list[Kind], values: dict[str, str], skip_null: tuple[str, ...] = (), fine: bool = False) -> DataFrame:
+    """slice_kind, dim1, dim2 and values (counts) for each kind (name, key, second key), from one aggregation over grouping sets.
+
+    Grouping sets copy each row once for each set. ``fine``: rows are counted by all keys together
+    first, so only those counts are copied; of use where the keys have few combinations.
+    """
     keys = list(dict.fromkeys(k for _, a, b in kinds for k in (a, b) if k))
     names = {k: f"k{i}" for i, k in enumerate(keys)}
     wide = rows.withColumns({n: F.expr(S.text(k)) for k, n in names.items()})
     sets = [[names[k] for k in (a, b) if k] for _, a, b in kinds]
     order = list(names.values())
+    if fine:
+        wide = wide.groupBy(*order).agg(*[F.expr(v).alias(n) for n, v in values.items()])
+        values = {n: f"sum({n})" for n in values}
     grouped = wide.groupingSets(sets, *order).agg(F.grouping_id().alias("g"), *[F.expr(v).alias(n) for n, v in values.items()])
     out = None
     for (name, a, b), s in zip(kinds, sets, strict=True):
@@ -40,12 +47,12 @@ def _duck_slice(kinds: list[Kind], values: dict[str, str], where: str = "", skip
     return duck_with(f"s AS (SELECT *, {S.minute_buckets()} AS minutes_bucket, {S.ages(17)} AS age_bucket FROM fact{f' WHERE {where}' if where else ''})") + " UNION ALL ".join(parts)
 
 
-def sliced(kinds: list[Kind], values: dict[str, str], where: str = "", skip_null: tuple[str, ...] = ()) -> Pair:
+def sliced(kinds: list[Kind], values: dict[str, str], where: str = "", skip_null: tuple[str, ...] = (), fine: bool = False) -> Pair:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = facts(spark, sf_dir)
         rows = rows.where(where) if where else rows
         rows = rows.withColumns({"minutes_bucket": F.expr(S.minute_buckets()), "age_bucket": F.expr(S.ages(17))})
-        return grouping_slice(rows, kinds, values, skip_null)
+        return grouping_slice(rows, kinds, values, skip_null, fine)
 
     return run, _duck_slice(kinds, values, where, skip_null)
 
@@ -141,11 +148,11 @@ _CELLS = duck_with("c AS (SELECT CAST(created_weekday AS VARCHAR) AS bucket, CAS
 COUNT = {"n": "count(*)"}
 SIDES = {"n1": count(PRIMARY), "n2": count(COMPARISON)}
 QUERIES: dict[str, Pair] = {
-    "overview_slice": sliced([SERIES, MINUTES, TYPE, *HEAT], COUNT, skip_null=("transport_type",)),
+    "overview_slice": sliced([SERIES, MINUTES, TYPE, *HEAT], COUNT, skip_null=("transport_type",), fine=True),
     "indication_slice": sliced([SERIES, MINUTES, *PEOPLE, *HEAT, ("gender_age", "gender_code", "age_bucket"), ("gender_urgency", "gender_code", "urgency_code")], COUNT, INDICATION),
     "indication_compare_slice": sliced([SERIES, MINUTES, *PEOPLE, *HEAT], {"n1": count(SIDE_A), "n2": count(SIDE_B)}, f"{SIDE_A} OR {SIDE_B}"),
     "benchmark_slice": sliced([MINUTES, TYPE, *PEOPLE, *HEAT, ("indication", "indication_id", None), ("speciality", "speciality_id", None), ("month", "created_month", None)], SIDES, f"({PRIMARY}) OR ({COMPARISON})"),
-    "profile_slice": sliced([MINUTES, *[(f"{n}_by_minutes", "minutes_bucket", c) for n, c in (("gender", "gender_code"), ("urgency", "urgency_code"), ("type", "transport_type_code"))]], COUNT | {"physician": count("is_with_physician"), "resus": count("requires_resus"), "cathlab": count("requires_cathlab")}),
+    "profile_slice": sliced([MINUTES, *[(f"{n}_by_minutes", "minutes_bucket", c) for n, c in (("gender", "gender_code"), ("urgency", "urgency_code"), ("type", "transport_type_code"))]], COUNT | {"physician": count("is_with_physician"), "resus": count("requires_resus"), "cathlab": count("requires_cathlab")}, fine=True),
     "profile_top": (profile_top, PROFILE_TOP),
     "explorer_pivot": (lambda spark, d: pivoted(_counts(spark, d, "weekday", "gender"), columns=["1", "2", "3"]), _CELLS + "SELECT bucket, " + ", ".join(f"coalesce(CAST(sum(count) FILTER (WHERE series = '{k}') AS BIGINT), 0) AS \"{k}\"" for k in (1, 2, 3)) + " FROM c GROUP BY 1"),
     "explorer_totals": (lambda spark, d: totals(_counts(spark, d, "weekday", "gender")).drop("level"), _CELLS + "SELECT bucket, series, CAST(sum(count) AS BIGINT) AS count FROM c GROUP BY CUBE (bucket, series)"),
