@@ -139,3 +139,6 @@ QUERIES: dict[str, Pair] = {
     "map_features": (lambda s, d: map_features(facts(s, d).where("created_year = 1995 AND created_month = 1 AND department_id < 3")), duck_with("c AS (SELECT dispatch_area_id, count(*) AS n, count(*) FILTER (WHERE urgency_code = 1) AS u FROM fact WHERE created_year = 1995 AND created_month = 1 AND department_id < 3 GROUP BY 1)") + "SELECT dispatch_area_id, CASE WHEN n < 10 THEN 0 ELSE n END AS cases, CASE WHEN n < 10 THEN 0 ELSE u END AS urgent, n < 10 AS hidden FROM c"),
     **{f"hospital_ids_by_{n}": (lambda s, d, k=k: hospital_ids(facts(s, d), k), duck_with() + f"SELECT {k}, string_agg(CAST(hospital_id AS VARCHAR), ',' ORDER BY hospital_id) AS ids, count(*) AS n FROM (SELECT DISTINCT {k}, hospital_id FROM fact) GROUP BY 1 HAVING count(*) >= 2") for n, k in (("state", "state_id"), ("area", "dispatch_area_id"), ("tier", "tier_code"))},
 }
+
+_NAME = f"coalesce({S.coded('location_code', S.LOCATION)}, 'unknown') || '-' || coalesce({S.coded('tier_code', S.TIER)}, 'unknown')"
+QUERIES["pattern_files"] = (QUERIES["pattern_files"][0], f"SELECT name, md5('format: distribution-pattern/v1' || chr(10) || 'values:' || chr(10) || string_agg('  ' || kind || '/' || key || ': ' || printf('%.6f', p), chr(10) ORDER BY kind, key)) AS digest, CAST(count(*) + 2 AS INTEGER) AS n_lines FROM (SELECT {_NAME} AS name, kind, key, p FROM ({QUERIES['pattern'][1]})) GROUP BY 1")
