@@ -16,6 +16,7 @@ MODULES = {
     "op8_secrets": "secret_scan",
     "op9_token_files": "token_files",
     "op10_toxicity": "toxicity",
+    "op11_divergence": "source_divergence",
 }
 
 
