@@ -17,6 +17,7 @@ MODULES = {
     "op9_token_files": "token_files",
     "op10_toxicity": "toxicity",
     "op11_divergence": "source_divergence",
+    "op12_lm_scores": "lm_mixing",
     "op13_collocations": "collocations",
 }
 
