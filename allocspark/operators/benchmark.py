@@ -11,19 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..sources.binding import duck_with, facts
 from .aggregates import CLINICAL, COMPARISON, NIGHT, PRIMARY, WEEKEND, Pair, count
+from .insights import OLD, YOUNG, benchmark_sql, evaluated, of_sides
 
 #: Cases under which ratios are withheld, and under which a side is insufficient (first, second side).
 RATIO_CASES, ENOUGH = 20, (100, 500)
-#: Insight, priority, least ratio, medically critical, condition.
-INSIGHTS = (
-    ("physician", 100, 1.5, True, CLINICAL["with_physician"]), ("resus", 95, 1.5, True, CLINICAL["resus"]), ("cathlab", 90, 1.5, True, CLINICAL["cathlab"]), ("urgency_emergency", 85, 1.3, True, "urgency_code = 1"),
-    ("age_80_plus", 70, 1.5, False, "age >= 80"), ("night_daytime", 60, 1.5, False, NIGHT), ("weekend", 55, 1.3, False, WEEKEND),
-    ("cpr", 75, 1.5, False, CLINICAL["cpr"]), ("ventilation", 72, 1.5, False, CLINICAL["ventilated"]), ("shock", 70, 1.5, False, CLINICAL["shock"]),
-)
-SHOWN, NEUTRAL, LEAST_DELTA = 4, (0.90, 1.10), 0.03
-#: Sides that differ on purpose, so that insights are found.
-OLD, YOUNG = "age >= 60 AND urgency_code <= 2", "age < 60 OR age IS NULL OR urgency_code = 3"
-
 
 def two_sides(rows: DataFrame, primary: str, comparison: str, conditions: dict[str, str]) -> DataFrame:
     """name, n1, total1, n2, total2 of each condition, from one aggregation."""
@@ -58,18 +49,14 @@ def delta_heatmap(rows: DataFrame, primary: str, comparison: str, column: str, c
 
 
 def insights(sides: DataFrame) -> DataFrame:
-    """The four rates that stand out most between two sides with enough cases: name, direction, severity, ratio, both rates and score."""
-    rules = sides.sparkSession.createDataFrame([(k, p, r, m) for k, p, r, m, _ in INSIGHTS], "name string, priority int, least double, critical boolean")
-    s = sides.join(rules, "name").where(f"total1 >= {ENOUGH[0]} AND total2 >= {ENOUGH[1]} AND n2 > 0")
-    s = s.withColumns({"r1": F.col("n1").cast("double") / F.col("total1"), "r2": F.col("n2").cast("double") / F.col("total2")}).withColumn("ratio", F.col("r1") / F.col("r2"))
-    s = s.where(~F.col("ratio").between(*NEUTRAL) & (F.abs(F.col("r1") - F.col("r2")) >= LEAST_DELTA))
-    s = s.withColumn("strength", F.when(F.col("ratio") >= 1, F.col("ratio")).otherwise(F.col("r2") / F.greatest("r1", F.lit(0.00001)))).where("strength >= least")
-    high = F.when((F.col("ratio") >= 2.5) | F.col("critical") & (F.col("ratio") >= 2.0), "critical").when(F.col("ratio") >= 1.5, "elevated").otherwise("neutral")
-    low = F.when(F.col("ratio") <= 0.5, "critical").when(F.col("ratio") <= 0.8, "elevated").otherwise("neutral")
-    score = F.round(F.col("priority") * F.least("strength", F.lit(5.0)) * F.log(F.greatest("total1", F.lit(2)).cast("double"))).cast("int")
-    above = F.col("ratio") >= 1
-    out = s.select(F.when(above, F.col("name")).otherwise(F.concat("name", F.lit("_low"))).alias("name"), F.when(above, "above").otherwise("below").alias("direction"), F.when(above, high).otherwise(low).alias("severity"), F.round("ratio", 1).alias("ratio"), F.round(100 * F.col("r1"), 1).alias("rate1"), F.round(100 * F.col("r2"), 1).alias("rate2"), score.alias("score"))
-    return out.orderBy(F.desc("score"), "name").limit(SHOWN)
+    """What stands out most between two sides, rates only, of rows (name, n1, total1, n2, total2): see ``insights.evaluated``, which takes medians too."""
+    measures = sides.select(F.lit("sides").alias("subject"), "name", *[F.col(c).cast("double").alias(c) for c in ("n1", "total1", "n2", "total2")], F.col("total1").alias("size1"), F.col("total2").alias("size2"))
+    return ranked(measures)
+
+
+def ranked(measures: DataFrame) -> DataFrame:
+    """The insights of the benchmark page's only subject."""
+    return evaluated(measures, "benchmark").select("name", "direction", "severity", "ratio", F.col("value1").alias("rate1"), F.col("value2").alias("rate2"), "score")
 
 
 def mix_lists(rows: DataFrame, primary: str, comparison: str) -> DataFrame:
@@ -114,18 +101,16 @@ def _heat_sql(column: str, last: int) -> str:
     return duck_with("s AS (SELECT unnest(range(1, 8)) AS weekday)", f"c AS (SELECT unnest(range(1, {last + 1})) AS code)", f"n AS (SELECT created_weekday AS weekday, {column} AS code, count(*) FILTER (WHERE {PRIMARY}) AS n1, count(*) FILTER (WHERE {COMPARISON}) AS n2 FROM fact GROUP BY 1, 2)", "t AS (SELECT sum(n1) AS t1, sum(n2) AS t2 FROM n)", "h AS (SELECT s.weekday, c.code, round(100 * coalesce(n1, 0)::DOUBLE / t1, 1) AS share1, round(100 * coalesce(n2, 0)::DOUBLE / t2, 1) AS share2 FROM s CROSS JOIN c CROSS JOIN t LEFT JOIN n ON n.weekday = s.weekday AND n.code = c.code)") + "SELECT CAST(weekday AS INTEGER) AS weekday, CAST(code AS INTEGER) AS code, share1, share2, round(share1 - share2, 1) AS delta FROM h"
 
 
-def _insight_sql(primary: str, comparison: str) -> str:
-    rules = ", ".join(f"('{k}', {p}, {r}, {m})" for k, p, r, m, _ in INSIGHTS)
-    return duck_with(_sides_sql(primary, comparison, {k: c for k, _, _, _, c in INSIGHTS}), f"rules AS (SELECT * FROM (VALUES {rules}) AS v(name, priority, least_ratio, critical))", "a AS (SELECT *, n1::DOUBLE / total1 AS x, n2::DOUBLE / total2 AS y FROM sides JOIN rules USING (name) WHERE total1 >= 100 AND total2 >= 500 AND n2 > 0)", "b AS (SELECT *, x / y AS q, CASE WHEN x >= y THEN x / y ELSE y / greatest(x, 0.00001) END AS s FROM a WHERE abs(x - y) >= 0.03 AND (x / y < 0.9 OR x / y > 1.1))") + "SELECT name || CASE WHEN q < 1 THEN '_low' ELSE '' END AS name, CASE WHEN q < 1 THEN 'below' ELSE 'above' END AS direction, CASE WHEN q >= 1 THEN CASE WHEN q >= 2.5 OR (critical AND q >= 2) THEN 'critical' WHEN q >= 1.5 THEN 'elevated' ELSE 'neutral' END ELSE CASE WHEN q <= 0.5 THEN 'critical' WHEN q <= 0.8 THEN 'elevated' ELSE 'neutral' END END AS severity, round(q, 1) AS ratio, round(100 * x, 1) AS rate1, round(100 * y, 1) AS rate2, CAST(round(priority * least(s, 5) * ln(total1)) AS INTEGER) AS score FROM b WHERE s >= least_ratio ORDER BY score DESC, 1 LIMIT 4"
-
-
 _MIX = ("hospital_id % 3 = 0", "hospital_id % 3 <> 0")
 QUERIES: dict[str, Pair] = {
     "benchmark_compared": (lambda s, d: compared(two_sides(facts(s, d), PRIMARY, COMPARISON, SIDES)), _compared_sql(PRIMARY, COMPARISON)),
     "benchmark_compared_few": (lambda s, d: compared(two_sides(facts(s, d), FEW, COMPARISON, SIDES)), _compared_sql(FEW, COMPARISON)),
     "benchmark_heat_day_time": (lambda s, d: delta_heatmap(facts(s, d), PRIMARY, COMPARISON, "day_time_code", (1, 2, 3, 4)), _heat_sql("day_time_code", 4)),
     "benchmark_heat_shift": (lambda s, d: delta_heatmap(facts(s, d), PRIMARY, COMPARISON, "shift_code", (1, 2, 3)), _heat_sql("shift_code", 3)),
-    "benchmark_insights": (lambda s, d: insights(two_sides(facts(s, d), OLD, YOUNG, {k: c for k, _, _, _, c in INSIGHTS})), _insight_sql(OLD, YOUNG)),
+    "benchmark_insights": (
+        lambda s, d: ranked(of_sides(facts(s, d), OLD, YOUNG)),
+        f"SELECT name, direction, severity, ratio, value1 AS rate1, value2 AS rate2, score FROM ({benchmark_sql()})",
+    ),
     "benchmark_mix_lists": (lambda s, d: mix_lists(facts(s, d), *_MIX), duck_with(f"n AS (SELECT indication_id, count(*) FILTER (WHERE {_MIX[0]}) AS n1, count(*) FILTER (WHERE {_MIX[1]}) AS n2 FROM fact GROUP BY 1)", "r AS (SELECT indication_id, (n1::DOUBLE / (SELECT sum(n1) FROM n)) / (n2::DOUBLE / (SELECT sum(n2) FROM n)) AS q FROM n WHERE indication_id IS NOT NULL AND n1 >= 20 AND n2 >= 50)", "o AS (SELECT 'over' AS list, * FROM r WHERE q >= 1.1 ORDER BY q DESC, indication_id LIMIT 10)", "u AS (SELECT 'under' AS list, * FROM r WHERE q <= 0.9 ORDER BY q DESC, indication_id LIMIT 10)") + "SELECT list, CAST(row_number() OVER (ORDER BY q DESC, indication_id) AS INTEGER) AS position, indication_id, round(q, 6) AS ratio FROM o UNION ALL SELECT list, CAST(row_number() OVER (ORDER BY q, indication_id) AS INTEGER), indication_id, round(q, 6) FROM u"),
     "profile_shares": (lambda s, d: profile_shares(facts(s, d)), duck_with(f"b AS (SELECT {S.minute_buckets()} AS bucket, is_with_physician AS p FROM fact)", "n AS (SELECT bucket, count(*) AS n, count(*) FILTER (WHERE p) AS w FROM b WHERE bucket <> 'unknown' GROUP BY 1)", "x AS (SELECT bucket, n, round(100 * w::DOUBLE / n, 1) AS percent, round(100 * (SELECT sum(w) FROM n)::DOUBLE / (SELECT sum(n) FROM n), 1) AS of_all FROM n)", "y AS (SELECT *, round(percent - of_all, 1) AS delta, n < 10 AS small FROM x)") + "SELECT *, CASE WHEN small OR abs(delta) < 1 THEN 0 WHEN abs(delta) < 3 THEN 1 WHEN abs(delta) < 5 THEN 2 WHEN abs(delta) < 10 THEN 3 ELSE 4 END AS heat FROM y"),
 }
