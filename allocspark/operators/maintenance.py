@@ -16,17 +16,19 @@ PRINT = ("hospital_id", "created_at", "arrival_at", "age", "gender_code", "urgen
 OPTIONAL = ("notes", "assessment_id", "secondary_indication_id", "occasion_id", "infection_id")
 
 
-def ranked_copies(rows: DataFrame) -> DataFrame:
-    """``rn`` = 1 for the row of each case to keep: the newest import, then the most complete, then the least key.
-
-    A case is a hospital's case id and event; without a case id the event alone.
-    """
+def cased(rows: DataFrame) -> DataFrame:
+    """Rows with ``event``, ``complete`` and ``case_key``. A case is a hospital's case id and event; without a case id the event alone."""
     shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c.endswith("_at") else F.col(c).cast("string") for c in PRINT]
     event = F.md5(F.concat_ws("|", *shown).cast("binary"))
     complete = sum(((F.col(c).isNotNull() & (F.col(c).cast("string") != "")).cast("int") for c in OPTIONAL), F.lit(0))
     case = F.when(F.col("case_id").isNotNull(), F.concat_ws("|", F.lit("c"), "hospital_id", "case_id", "event")).otherwise(F.concat_ws("|", F.lit("e"), "event"))
+    return rows.withColumn("event", event).withColumn("complete", complete).withColumn("case_key", case)
+
+
+def ranked_copies(rows: DataFrame) -> DataFrame:
+    """``rn`` = 1 for the row of each case to keep: the newest import, then the most complete, then the least key."""
     order = Window.partitionBy("case_key").orderBy(F.desc("import_id"), F.desc("complete"), "fact_key")
-    return rows.withColumn("event", event).withColumn("complete", complete).withColumn("case_key", case).withColumn("rn", F.row_number().over(order))
+    return cased(rows).withColumn("rn", F.row_number().over(order))
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ _CH = lambda p: f"CASE WHEN {p} > 0 THEN round(100 * (now - {p})::DOUBLE / {p},
 QUERIES: dict[str, Pair] = {
     "dedup_report": (dedup_report, DEDUP),
     "dedup_kept": (lambda s, d: deduplicated(_repeated(s, d)).groupBy("import_id").agg(F.count(F.lit(1)).alias("n")), DEDUP[: DEDUP.rindex("SELECT import_id")] + "SELECT import_id, count(*) AS n FROM r WHERE rn = 1 GROUP BY 1"),
-    "single_import_hospitals": (only_in_import, duck_with() + "SELECT DISTINCT hospital_id, department_id, indication_id, import_id FROM fact f WHERE NOT EXISTS (SELECT 1 FROM fact g WHERE g.hospital_id = f.hospital_id AND g.department_id = f.department_id AND g.indication_id IS NOT DISTINCT FROM f.indication_id AND g.import_id <> f.import_id)"),
+    "single_import_departments": (only_in_import, duck_with() + "SELECT DISTINCT hospital_id, department_id, indication_id, import_id FROM fact f WHERE NOT EXISTS (SELECT 1 FROM fact g WHERE g.hospital_id = f.hospital_id AND g.department_id = f.department_id AND g.indication_id IS NOT DISTINCT FROM f.indication_id AND g.import_id <> f.import_id)"),
     "kpi_daily": (lambda s, d: kpi_daily(s, d, "created_year = 1997 AND created_month = 3"), duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact WHERE created_year = 1997 AND created_month = 3)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
     "kpi_daily_all": (kpi_daily, duck_with("k AS (SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM fact)") + f"SELECT day, hospital_id, count(*) AS n, {_C('department_was_closed')} AS closed FROM k GROUP BY 1, 2 UNION ALL SELECT day, NULL, count(*), {_C('department_was_closed')} FROM k GROUP BY 1"),
     "quality_volume": (volume_histogram, duck_with("n AS (SELECT hospital_id, count(*) AS n FROM fact WHERE created_year = 1997 GROUP BY 1)") + "SELECT CASE WHEN n >= 250 THEN '250_plus' WHEN n >= 100 THEN '100_249' WHEN n >= 25 THEN '25_99' ELSE '0_24' END AS bucket, count(*) AS n_hospitals, count(CASE WHEN n >= 100 THEN 1 END) AS enough, CAST(sum(n) AS BIGINT) AS n_rows FROM n GROUP BY 1"),

@@ -114,7 +114,7 @@ def brings_unseen(rows: DataFrame, known: DataFrame) -> DataFrame:
 def review(rows: DataFrame, raw: DataFrame) -> DataFrame:
     """Each raw indication's use as first and second indication, and how its rows agree with its normalised one. raw: raw_id, normalized_id."""
     first = rows.groupBy(F.col("indication_raw_id").alias("raw_id")).agg(F.count(F.lit(1)).alias("n_first"), F.count_if(F.col("indication_id").isNull()).alias("n_missing"), F.collect_set("indication_id").alias("used"))
-    second = rows.where("secondary_indication_id IS NOT NULL").groupBy(F.col("secondary_indication_id").cast("int").alias("raw_id")).agg(F.count(F.lit(1)).alias("n_second"))
+    second = rows.where("secondary_indication_raw_id IS NOT NULL").groupBy(F.col("secondary_indication_raw_id").alias("raw_id")).agg(F.count(F.lit(1)).alias("n_second"))
     both = raw.join(first, "raw_id", "left").join(second, "raw_id", "left").na.fill(0, ["n_first", "n_second", "n_missing"])
     odd = F.size(F.array_except(F.coalesce("used", F.array().cast("array<bigint>")), F.array("normalized_id"))) > 0
     status = F.when(F.col("n_first") + F.col("n_second") == 0, "unused").when(F.col("normalized_id").isNull(), "open").when(odd, "mismatch").when(F.col("n_missing") > 0, "incomplete").otherwise("done")
@@ -183,7 +183,7 @@ QUERIES: dict[str, Pair] = {
     "upkeep_kpi_days": (_upserted, f"WITH {_LOG}, f AS (SELECT * FROM log WHERE status <> 'running' AND NOT (day BETWEEN '1997-03-01' AND '1997-03-14' AND hospital_id = 3)) SELECT day, hospital_id, {_KPI} FROM f GROUP BY 1, 2 UNION ALL SELECT day, NULL, {_KPI} FROM f GROUP BY 1"),
     "upkeep_views": (_refreshed, duck_with("n AS (SELECT count(DISTINCT (state_id, hospital_id)) AS a, count(DISTINCT (dispatch_area_id, hospital_id)) AS b, count(DISTINCT hospital_id) FILTER (WHERE location_code IS NOT NULL AND tier_code IS NOT NULL) AS c FROM fact)") + "SELECT unnest(['hospitals_by_state', 'hospitals_by_area', 'hospitals_by_cohort']) AS name, 'refreshed' AS told, unnest([a, b, c]) AS n FROM n"),
     "upkeep_unseen_hospitals": (lambda s, d: brings_unseen(facts(s, d).where("created_year = 1998"), facts(s, d).where("created_year < 1998 AND hospital_id % 4 <> 1")), duck_with() + "SELECT DISTINCT hospital_id FROM fact WHERE created_year = 1998 AND hospital_id NOT IN (SELECT hospital_id FROM fact WHERE created_year < 1998 AND hospital_id % 4 <> 1)"),
-    "review_raw_indications": (lambda s, d: review(facts(s, d), raw_indications(s)), duck_with(_RAW, "a AS (SELECT indication_raw_id AS raw_id, count(*) AS n, count(*) FILTER (WHERE indication_id IS NULL) AS m FROM fact GROUP BY 1)", "b AS (SELECT CAST(secondary_indication_id AS INTEGER) AS raw_id, count(*) AS n FROM fact WHERE secondary_indication_id IS NOT NULL GROUP BY 1)") + "SELECT raw_id, normalized_id, coalesce(a.n, 0) AS n_first, coalesce(b.n, 0) AS n_second, coalesce(a.m, 0) AS n_missing, CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) = 0 THEN 'unused' WHEN normalized_id IS NULL THEN 'open' WHEN EXISTS (SELECT 1 FROM fact f WHERE f.indication_raw_id = raw.raw_id AND f.indication_id <> raw.normalized_id) THEN 'mismatch' WHEN coalesce(a.m, 0) > 0 THEN 'incomplete' ELSE 'done' END AS status FROM raw LEFT JOIN a USING (raw_id) LEFT JOIN b USING (raw_id)"),
+    "review_raw_indications": (lambda s, d: review(facts(s, d), raw_indications(s)), duck_with(_RAW, "a AS (SELECT indication_raw_id AS raw_id, count(*) AS n, count(*) FILTER (WHERE indication_id IS NULL) AS m FROM fact GROUP BY 1)", "b AS (SELECT secondary_indication_raw_id AS raw_id, count(*) AS n FROM fact WHERE secondary_indication_raw_id IS NOT NULL GROUP BY 1)") + "SELECT raw_id, normalized_id, coalesce(a.n, 0) AS n_first, coalesce(b.n, 0) AS n_second, coalesce(a.m, 0) AS n_missing, CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) = 0 THEN 'unused' WHEN normalized_id IS NULL THEN 'open' WHEN EXISTS (SELECT 1 FROM fact f WHERE f.indication_raw_id = raw.raw_id AND f.indication_id <> raw.normalized_id) THEN 'mismatch' WHEN coalesce(a.m, 0) > 0 THEN 'incomplete' ELSE 'done' END AS status FROM raw LEFT JOIN a USING (raw_id) LEFT JOIN b USING (raw_id)"),
     "review_summary": (lambda s, d: review(facts(s, d), raw_indications(s)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_first").alias("rows")), None),
     "hospitals_with_data": (lambda s, d: hospitals(s, d).join(facts(s, d).select("hospital_id").distinct(), "hospital_id", "left_semi").select("hospital_id"), duck_with() + "SELECT hospital_id FROM hospital WHERE hospital_id IN (SELECT hospital_id FROM fact)"),
 }

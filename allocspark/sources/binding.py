@@ -31,6 +31,7 @@ RAW = {
     "infection_id": "CASE WHEN l_partkey % 11 < 3 THEN l_partkey % 11 END",
     "indication_id": "CASE WHEN l_partkey % 29 <> 0 THEN l_partkey % 50 END",
     "indication_raw_id": "CAST(l_partkey % 150 AS INT)",
+    "secondary_indication_raw_id": "CASE WHEN l_orderkey % 4 = 0 THEN CAST(l_partkey * 11 % 150 AS INT) END",
     "secondary_indication_id": "CASE WHEN l_orderkey % 4 = 0 THEN l_partkey * 7 % 50 END",
     "secondary_transport_id": "CASE WHEN l_orderkey % 6 = 0 THEN l_orderkey % 3 END",
     "age": "CASE WHEN l_partkey % 17 <> 0 THEN CAST(l_partkey % 103 AS INT) END",
