@@ -34,6 +34,7 @@ not looked at.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,20 +50,20 @@ from .shingles import min_hashes, shingle_sets
 K, MATCH, BLOCK, PERCENT, SPARSE = 64, 30, 2048, 75, 8
 
 
-def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, k: int = K) -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles, digest (null for an empty set), sig (array of k coordinates)."""
+def signatures(df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", size: int = 5, k: int = K) -> DataFrame:
+    """doc_id, text_key, n_shingles, digest (null for an empty set), sig (array of k coordinates), of rows with a text_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(2))
             for a, b in slices(texts):
-                found = shingle_sets(texts[a:b], size)
+                found = shingle_sets(texts[a:b], secret, size)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
                 sigs = [min_hashes(s, k) if len(s) else np.zeros(k, np.int32) for s in found]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, k * (b - a) + 1, k, dtype=np.int32)), pa.array(np.concatenate(sigs)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(map(len, found), pa.int64()), pa.array(digests, pa.binary()), flat], ["doc_id", "text_key", "n_shingles", "digest", "sig"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>")
+    return df.select(F.col(key).cast("long").alias("doc_id"), "text_key", F.col(text).alias("text")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, sig array<int>")
 
 
 def _posted(sets: DataFrame, coordinates: int = K, *more: str) -> DataFrame:
@@ -78,7 +79,7 @@ def with_company(sets: DataFrame, match: int = MATCH) -> DataFrame:
     return sets.join(nodes, "node", "left_semi")
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame, size: int = 5, percent: int = PERCENT, block: int = 64) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, secret: bytes, size: int = 5, percent: int = PERCENT, block: int = 64) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Each b is sent to its a once; an a with many partners is sent to several tasks. texts: node, text."""
     n = texts.sparkSession
     dealt = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / block).cast("int").alias("salts"))
@@ -95,7 +96,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int = 5, percent: int =
             firsts, salts, ids = (batch.column(c).to_pylist() for c in (0, 1, 3))
             for x, z in slices(texts):
                 left, right = [], []
-                for a, salt, i, found in zip(firsts[x:z], salts[x:z], ids[x:z], shingle_sets(texts[x:z], size), strict=True):
+                for a, salt, i, found in zip(firsts[x:z], salts[x:z], ids[x:z], shingle_sets(texts[x:z], secret, size), strict=True):
                     if a == i:
                         at, head = (a, salt), found
                     elif at == (a, salt) and 100 * min(len(head), len(found)) >= percent * max(len(head), len(found)):
@@ -207,7 +208,7 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def clustered(texts: DataFrame, sets: DataFrame, edges: DataFrame, size: int = 5, match: int = MATCH, percent: int = PERCENT, block: int = BLOCK // 4) -> DataFrame:
+def clustered(texts: DataFrame, sets: DataFrame, edges: DataFrame, secret: bytes, size: int = 5, match: int = MATCH, percent: int = PERCENT, block: int = BLOCK // 4) -> DataFrame:
     """Links (a, b) that join the groups of all similar sets within the components of the dense edges.
 
     Each component is dealt out by pairs of blocks of its sets. A task verifies the pairs that
@@ -252,7 +253,7 @@ def clustered(texts: DataFrame, sets: DataFrame, edges: DataFrame, size: int = 5
             for x in range(0, batch.num_rows, 256):
                 part = batch.slice(x, 256)
                 columns = [part.column(c).to_pylist() for c in range(8)]
-                for row in zip(*columns, shingle_sets(texts_of(part.column(8)), size), strict=True):
+                for row in zip(*columns, shingle_sets(texts_of(part.column(8)), secret, size), strict=True):
                     if row[:3] != cell:
                         if cell is not None:
                             yield links(cell, *held)
@@ -270,29 +271,30 @@ def _ending(batches):
     yield None
 
 
-def _named(sets: DataFrame) -> DataFrame:
+def _named(sets: DataFrame, salt: int) -> DataFrame:
     """Sets with a node each: their doc_id, or another number where several sets have the same."""
     twice = sets.groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("doc_id", "first")
     if not twice.head(1):
         return sets.withColumn("node", F.col("doc_id"))
     other = F.col("first").isNotNull() & (F.col("first") != F.col("digest"))
-    return sets.join(twice, "doc_id", "left").withColumn("node", F.when(other, F.xxhash64("digest", "doc_id")).otherwise(F.col("doc_id"))).drop("first")
+    return sets.join(twice, "doc_id", "left").withColumn("node", F.when(other, F.xxhash64(F.lit(salt), "digest", "doc_id")).otherwise(F.col("doc_id"))).drop("first")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sparse: int = SPARSE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    signed = written(signatures(docs), "signatures")
+    secret, salt = secrets.token_bytes(32), secrets.randbits(62)  # drawn for each run: names of words, texts and extra nodes can't be made to collide
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.lit(salt), text).alias("text_key"), F.col(text).alias("text"))
+    signed = written(signatures(docs, secret), "signatures")
     row = F.struct("doc_id", "text_key", "n_shingles", "sig")
     alone = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min_by(row, F.struct("doc_id", "text_key")).alias("s")).select("s.*", "digest")
     alone = written(alone, "sets")
-    sets = written(with_company(_named(alone)), "company")
+    sets = written(with_company(_named(alone, salt)), "company")
     texts = docs.where("text IS NOT NULL").join(sets.select("doc_id", "text_key", "node"), ["doc_id", "text_key"])
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    groups = components(written(confirmed(texts, headed(sets)), "stars"))
+    groups = components(written(confirmed(texts, headed(sets), secret), "stars"))
     grouped = written(sets.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("grp"), "n_shingles", "sig", "digest"), "groups")
     pairs = written(colliding(grouped, sparse=sparse), "pairs")
-    links = confirmed(texts, pairs.where("NOT dense").select("a", "b")).unionByName(clustered(texts, grouped, pairs.where("dense").select("a", "b")))
+    links = confirmed(texts, pairs.where("NOT dense").select("a", "b"), secret).unionByName(clustered(texts, grouped, pairs.where("dense").select("a", "b"), secret))
     merged = grouped.select("node", "grp")
     a, b = (merged.select(F.col("node").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
     joined = written(components(written(links, "links").join(a, "a").join(b, "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "joined")

@@ -1,4 +1,8 @@
-"""Hashes of words and of word shingles for whole batches of texts, in numpy."""
+"""Hashes of words and of word shingles for whole batches of texts, in numpy.
+
+Words are named by keyed digests of their bytes. A run draws its own key, so nobody can write
+texts whose words or shingles collide; everything that follows is arithmetic on these names.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import functools
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.zeros(256, bool)
@@ -28,24 +33,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text. Words: runs of non-blank characters, A-Z in lower case."""
+def word_hashes(texts: list[str], key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keyed hashes of all words of all texts in order, and the number of words of each text. Words: runs of non-blank characters, A-Z in lower case."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer((b"\n".join(raw) + b"\n").translate(LOWER), np.uint8)
     blank = SPACE[data]
     before = np.concatenate(([True], blank[:-1]))
     starts, ends = np.flatnonzero(before & ~blank), np.flatnonzero(blank & ~before)
-    n = 1 << max(20, int(len(data)).bit_length())
-    power, inverse = _powers(n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    words = mix((sums[ends] - sums[starts]) * inverse[starts])
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts))).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank])]).dictionary_encode()
+    names = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8, key=key).digest() for w in coded.dictionary.to_pylist()), "<u8")
     borders = np.cumsum([len(r) + 1 for r in raw])
-    return words, np.diff(np.concatenate(([0], np.searchsorted(starts, borders))))
+    return names[coded.indices.to_numpy(zero_copy_only=False)], np.diff(np.concatenate(([0], np.searchsorted(starts, borders))))
 
 
-def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], key: bytes, size: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; the whole sequence is one where there are fewer words; none without words."""
-    words, counts = word_hashes(texts)
+    words, counts = word_hashes(texts, key)
     chained = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):
         chained = mix(chained * np.uint64(0xD6E8FEB86659FD93) + words[k : len(words) - size + 1 + k] if len(chained) else chained)
@@ -55,7 +59,7 @@ def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
             found = np.sort(chained[at : at + n - size + 1])
             out.append(found[np.concatenate(([True], found[1:] != found[:-1]))])
         elif n:
-            whole = hashlib.blake2b(words[at : at + n].tobytes() + bytes([n]), digest_size=8).digest()
+            whole = hashlib.blake2b(words[at : at + n].tobytes() + bytes([n]), digest_size=8, key=key).digest()
             out.append(np.frombuffer(whole, "<u8").copy())
         else:
             out.append(np.zeros(0, np.uint64))

@@ -7,8 +7,8 @@ two equal windows have theirs at the same offset. The steps:
 
 1. Texts are laid into chunks of some MB, compressed rows of one binary column; equal texts
    of a chunk are one. All else refers to chunks, so few and small rows are shuffled.
-2. A chunk asks about the fingerprints of its anchors and the hashes of their surroundings,
-   one bucket of fingerprints each. The bucket's answer says which surroundings occur
+2. A chunk asks about the fingerprints of its anchors and the digests of their surroundings
+   (keyed, with a key drawn for each run), one bucket of fingerprints each. The bucket's answer says which surroundings occur
    elsewhere too (all of their windows go, and one chunk alone goes on with them), and
    which have company by their fingerprint only.
 3. The suffixes of the latter become sorted front-coded runs, one for each bucket and chunk.
@@ -30,7 +30,7 @@ other and lose all windows, whatever their ids. Other columns pass through
 
 from __future__ import annotations
 
-import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, slices, table, texts_of, written
-from .suffix_runs import LENGTH, SPAN, Records, anchors, coded, opened, packed, repeats, unpacked
+from .suffix_runs import LENGTH, SPAN, Records, anchors, coded, digest, opened, packed, repeats, unpacked
 
 #: Bytes of texts in a chunk, different surroundings of a fingerprint that a chunk tells and a bucket merges, offsets in a block of each round.
 CHUNK, CROWD, BOUND, WIDTHS = 4 << 20, 64, 20_000, (SPAN, 24, 3, 1)
@@ -53,8 +53,9 @@ AGAIN, SEND, CROWDED = 1, 2, 4
 
 
 def _key(text: str) -> tuple[Column, Column]:
-    """Two hashes that name a text."""
-    return F.xxhash64(text, F.lit(1)).alias("ka"), F.xxhash64(F.lit(2), text).alias("kb")
+    """Two numbers of 60 bits each that name a text, from its SHA-256."""
+    sha = F.sha2(F.encode(text, "utf-8"), 256)
+    return tuple(F.conv(F.substring(sha, a, 15), 16, 10).cast("long").alias(name) for a, name in ((1, "ka"), (16, "kb")))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -118,14 +119,14 @@ class Items:
         return Records(list(right), list(left), self.least[chosen], self.most[chosen], self.place[chosen])
 
 
-def _anchored(data: bytes) -> Items:
+def _anchored(data: bytes, secret: bytes) -> Items:
     """The anchors of a chunk's texts."""
     _, _, copies, lens, flat = unpacked(data)
     raw, ends = flat.tobytes(), np.cumsum(lens)
     texts = [raw[a:z] for a, z in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
     parts = []
     for a, z in slices(texts):
-        of, place, *rest = anchors(texts[a:z])
+        of, place, *rest = anchors(texts[a:z], secret)
         parts.append((copies[a + of], place + (ends[a] - lens[a]), *rest))
     n, place, least, most, key, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -136,24 +137,23 @@ def _anchored(data: bytes) -> Items:
     return Items(key, tag, n, least, most, place, strings)
 
 
-def _split(data: bytes, width: int) -> Items:
+def _split(data: bytes, width: int, secret: bytes) -> Items:
     """The records of a run, cut into blocks of ``width`` offsets."""
     records, _ = opened(data)
     out, sides = [], []
-    digest = lambda *x: int.from_bytes(hashlib.blake2b(b"".join(x), digest_size=8).digest(), "little")
     for right, left, least, most, place in zip(records.right, records.left, records.least.tolist(), records.most.tolist(), records.place.tolist(), strict=True):
         for a in range(least // width * width, most + 1, width):
             low, high, b = max(least, a), min(most, a + width - 1), min(a + width, SPAN) - 1
             x, y = right[: LENGTH - low], left[:high]
-            out.append((digest(bytes([a]), right[: LENGTH - b], left[:a]), digest(bytes([low, high]), x, y), low, high, place))
+            out.append((digest(secret, bytes([a]), right[: LENGTH - b], left[:a]), digest(secret, bytes([low, high]), x, y), low, high, place))
             sides.append((x, y))
     key, tag = (np.array([o[k] for o in out], np.uint64) for k in (0, 1))
     low, high, place = (np.array([o[k] for o in out], np.int64) for k in (2, 3, 4))
     return Items(key, tag, np.ones(len(out), np.int32), low, high, place, sides.__getitem__)
 
 
-def _items(data: bytes, level: int) -> Items:
-    return _split(data, WIDTHS[level]) if level else _anchored(data)
+def _items(data: bytes, level: int, secret: bytes) -> Items:
+    return _split(data, WIDTHS[level], secret) if level else _anchored(data, secret)
 
 
 def _dealt(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -166,13 +166,13 @@ def _crowds(key: np.ndarray, crowd: int) -> np.ndarray:
     return n[inverse] > crowd
 
 
-def asked(own: DataFrame, level: int, buckets: int, crowd: int) -> DataFrame:
+def asked(own: DataFrame, level: int, buckets: int, crowd: int, secret: bytes) -> DataFrame:
     """A row for each chunk and bucket: keys and tags of the chunk's kinds. A crowded key is told without its tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                items = _items(batch.column(3)[i].as_py(), level)
+                items = _items(batch.column(3)[i].as_py(), level, secret)
                 _, _, first, copies = items.distinct()
                 key, tag, several = items.key[first], items.tag[first], (copies > 1).astype(np.uint8)
                 many = _crowds(key, crowd)
@@ -238,11 +238,11 @@ def _meeting(parts: int, *rows: DataFrame) -> DataFrame:
     return all_rows.withColumn("own", F.col("kind") == OWN).repartition(parts, "chunk").sortWithinPartitions("chunk", "own").drop("own")
 
 
-def settled(own: DataFrame, answers: DataFrame, level: int, parts: int, buckets: int, crowd: int) -> DataFrame:
+def settled(own: DataFrame, answers: DataFrame, level: int, parts: int, buckets: int, crowd: int, secret: bytes) -> DataFrame:
     """What follows from the answers: spans that are known, runs for buckets, and records to split."""
 
     def follow(chunk: int, told: dict[int, np.ndarray], data: bytes) -> list[tuple]:
-        items = _items(data, level)
+        items = _items(data, level, secret)
         order, kind, first, copies = items.distinct()
         if not len(first):
             return []
@@ -341,10 +341,10 @@ def repeated_passages(docs: DataFrame, chunk: int = CHUNK, crowd: int = CROWD, b
     """ka, kb, removed and kept of every text of docs (ka, kb, text) that loses bytes; equal texts have equal rows."""
     chunks = written(chunked(docs.where(f"octet_length(text) >= {LENGTH}"), chunk), "chunks")
     parts = max(shuffle_partitions(docs.sparkSession), -(-chunks.count() // 32))
-    own, spans, crowd, bound = chunks, None, max(1, crowd), max(1, bound)
+    own, spans, crowd, bound, secret = chunks, None, max(1, crowd), max(1, bound), secrets.token_bytes(32)
     for level in range(len(WIDTHS)):
-        answers = answered(asked(own, level, parts, crowd), parts, bound)
-        found = written(settled(own, answers, level, parts, parts, crowd), "settled")
+        answers = answered(asked(own, level, parts, crowd, secret), parts, bound)
+        found = written(settled(own, answers, level, parts, parts, crowd, secret), "settled")
         hits = found.where(f"kind = {HITS}").unionByName(merged_runs(found.where(f"kind = {RUN}"), parts))
         spans = hits if spans is None else spans.unionByName(hits)
         own = found.where(f"kind = {SPLIT}").withColumn("kind", F.lit(OWN))

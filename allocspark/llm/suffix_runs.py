@@ -7,6 +7,7 @@ the window that starts ``l`` bytes before the anchor is the record's own.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +19,18 @@ LENGTH, KMER = 200, 32
 SPAN = LENGTH - KMER + 1
 
 
-def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Text number, place (in all texts laid end to end), least and largest l, fingerprint, and a hash of the surroundings, of each anchor.
+def digest(key: bytes, *parts: bytes) -> int:
+    """64 bits that name bytes, under a key that whoever wrote the bytes doesn't know."""
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8, key=key).digest(), "little")
+
+
+def anchors(raw: list[bytes], key: bytes) -> tuple[np.ndarray, ...]:
+    """Text number, place (in all texts laid end to end), least and largest l, fingerprint, and a keyed digest of the surroundings, of each anchor.
 
     A window's anchor is the k-mer of least hash in it, the leftmost of equal ones: it
     depends on the window's bytes alone, so equal windows have their anchors at the same l.
-    An anchor's surroundings are the bytes that its windows cover together.
+    An anchor's surroundings are the bytes that its windows cover together. Fingerprints only
+    choose what is compared; equal digests say that surroundings are equal.
     """
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -36,8 +43,7 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     n = len(data) - KMER + 1
     h = mix((sums[KMER:] - sums[:-KMER]) * inverse[:n])
     low = np.uint64((1 << 26) - 1)
-    key = (h & ~low) | (np.arange(n, dtype=np.uint64) & low)
-    m = key
+    m = (h & ~low) | (np.arange(n, dtype=np.uint64) & low)
     for step in (1, 2, 4, 8, 16, 32, 64):
         m = np.minimum(m[:-step], m[step:])
     rest = SPAN - 128
@@ -54,8 +60,9 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     place, of = at[first], doc[first]
     most, least = place - start[first], place - start[last]
     a, z = place - most, place - least + LENGTH
-    around = mix((sums[z] - sums[a]) * inverse[a]) + least.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + most.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return of, place, least, most, h[place], mix(around)
+    joined = data.tobytes()
+    around = np.fromiter((digest(key, bytes((x, y)), joined[i:j]) for x, y, i, j in zip(least.tolist(), most.tolist(), a.tolist(), z.tolist(), strict=True)), np.uint64, len(a))
+    return of, place, least, most, h[place], around
 
 
 def packed(*arrays: np.ndarray) -> bytes:

@@ -110,7 +110,7 @@ def test_repeats_as_brute_force(seed):
     raw.append(raw[0])
     flat, ends = b"".join(raw), np.cumsum([len(t) for t in raw])
     held = {}
-    for i, a, low, high, fp, _ in zip(*(x.tolist() for x in suffix_runs.anchors(raw)), strict=True):
+    for i, a, low, high, fp, _ in zip(*(x.tolist() for x in suffix_runs.anchors(raw, b"k")), strict=True):
         held.setdefault((fp % 2, i % 3), []).append((a, low, high))
     cover = bytearray(len(flat))
     for bucket in (0, 1):
@@ -123,7 +123,7 @@ def test_repeats_as_brute_force(seed):
 
 
 def test_shingles():
-    a, b, c, d = shingle_sets(["A b\tc d e F", "a b c d e f", "x y", "  \n"])
+    a, b, c, d = shingle_sets(["A b\tc d e F", "a b c d e f", "x y", "  \n"], b"k")
     assert (a == b).all() and len(a) == 2 and len(c) == 1 and not len(d)
 
 
