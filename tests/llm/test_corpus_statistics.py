@@ -156,7 +156,7 @@ def test_the_model_is_a_distribution():
     total = 0.0
     for b in sorted(set(range(1, 128)) - set(range(65, 91)) - {9, 10, 11, 12, 13, 32}):  # words of one byte, each alone in its document
         text = lm_mixing.tokens(np.array([b], np.uint8), np.array([1]))
-        cost = lm_mixing.mixed(text, lm_mixing.spelled(text.vocabulary, code, 1 << 10), table, 1 << 10, np.full((lm_mixing.GATES, lm_mixing.K), 0.3), 1)[0]
+        cost = lm_mixing.mixed(text, lm_mixing.looked_up(text.vocabulary, code, 1 << 10, table, lm_mixing.beginning()[0]), table, 1 << 10, lm_mixing.beginning()[1], 1)[0]
         total += math.exp(-cost[0])
     assert 0 < total < 1
     shares = np.log(np.array([0.5, 0.5]))
@@ -178,7 +178,7 @@ def test_weights_learn_from_earlier_blocks_only():
     def costs(texts):
         raw = np.frombuffer("".join(texts).encode(), np.uint8)
         text = lm_mixing.tokens(raw, np.array([len(t.encode()) for t in texts]))
-        return lm_mixing.mixed(text, lm_mixing.spelled(text.vocabulary, code, 1 << 12), table, 1 << 12, np.full((lm_mixing.GATES, lm_mixing.K), 0.3), len(texts))[0], text.doc
+        return lm_mixing.mixed(text, lm_mixing.looked_up(text.vocabulary, code, 1 << 12, table, lm_mixing.beginning()[0]), table, 1 << 12, lm_mixing.beginning()[1], len(texts))[0], text.doc
 
     (a, doc), (b, other) = costs(words), costs([words[0] + " zeta zeta", words[1], words[2]])
     n = int((doc == 0).sum()) - 1
