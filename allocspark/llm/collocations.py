@@ -37,8 +37,8 @@ from .common import table, written
 from .runs_of_bytes import Words, byte_class, codes_of, sliced, words_of
 from .shingles import mix
 
-#: Words of the longest phrases.
-LONGEST = 3
+#: Words of the longest phrases, parts in which a language's phrases are ranked first.
+LONGEST, SALTS = 3, 64
 #: Occurrences of a candidate, percent of them in a longer one that take it away, phrases shown of each language, buckets (two bitmaps of an eighth of that in bytes go to every task).
 LEAST, COVERED, SHOWN, BUCKETS = 10, 50, 2000, 1 << 26
 WORD = byte_class(but="\t .,;:!?\n\x0b\x0c\r")
@@ -178,7 +178,11 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", least: i
     inner = [found[size - 1].select("lang", _words(F.col("phrase"), k, k + part - 1).alias("phrase"), F.col("n").alias("in")) for size in range(3, LONGEST + 1) for part in range(2, size) for k in range(1, size - part + 2)]
     most = functools.reduce(DataFrame.unionByName, inner).groupBy("lang", "phrase").agg(F.max("in").alias("in"))
     left = scored.join(most, ["lang", "phrase"], "left").where(F.col("in").isNull() | (100 * F.col("in") < covered * F.col("a")))
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    if shown is not None:  # each part of a language keeps its leading ones, so the last ranking gets a bounded number
+        left = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+        left = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= shown).drop("salt", "rank")
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if shown is not None:
         ranked = ranked.where(F.col("rank") <= shown)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
