@@ -20,7 +20,6 @@ from .store import Store
 
 #: Tables of the index: rows that stand for cases, by month; removed rows, by the import that removed them.
 CASES, REMOVED = "cases", "removed"
-_ORDER = (F.desc("import_id"), F.desc("complete"), "fact_key")
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -29,7 +28,8 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("month", "case_key").orderBy(*_ORDER)))
+    order = (F.desc("import_id"), F.desc("complete"), "fact_key")
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("month", "case_key").orderBy(*order)))
 
 
 def built(store: Store, rows: DataFrame) -> None:
