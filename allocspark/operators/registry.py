@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("aggregates", "slices", "usage", "maintenance", "listing", "upkeep", "benchmark", "population", "imports", "reports", "insights", "local_kpis", "dedup_index", "raw_review")
+MODULES = ("aggregates", "slices", "usage", "maintenance", "listing", "upkeep", "benchmark", "population", "imports", "reports", "insights", "local_kpis", "dedup_index", "raw_review", "cubes")
 
 
 def _all() -> dict:
