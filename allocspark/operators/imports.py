@@ -17,9 +17,9 @@ EXPORT = {
     "Zuweisung durch": "CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Koordinierungsstelle Nord' ELSE concat('Leitstelle Ort', o_custkey % 4, ' (alt)') END",
     "Versorgungsbereich": "concat('Kreis Feld', o_custkey % 3)",
     "Datum (Erstellungsdatum)": "CASE WHEN o_orderkey % 47 = 0 THEN 'gestern' ELSE concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '.', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '.', CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS STRING) ELSE substring(CAST(year(o_orderdate) AS STRING), 3, 2) END) END",
-    "Uhrzeit (Erstellungsdatum)": "'10:19'",
+    "Uhrzeit (Erstellungsdatum)": "'11:36'",
     "Datum (Eintreffzeit)": "concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '.', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '.', CAST(year(o_orderdate) AS STRING))",
-    "Uhrzeit (Eintreffzeit)": "CASE WHEN o_orderkey % 53 = 0 THEN '09:00:00' ELSE '13:14:55' END",
+    "Uhrzeit (Eintreffzeit)": "CASE WHEN o_orderkey % 53 = 0 THEN '09:00:00' ELSE '14:52:38' END",
     "Geschlecht": "CASE o_orderkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'W' WHEN 2 THEN 'F' ELSE '' END",
     "Alter": "CASE WHEN o_custkey % 19 = 0 THEN 'alt' ELSE CAST(o_custkey % 103 AS STRING) END",
     "Transportmittel": "CASE o_orderkey % 6 WHEN 0 THEN 'Boden' WHEN 1 THEN 'RTW' WHEN 2 THEN 'LUFT' WHEN 3 THEN 'Bodenlos' ELSE 'naw' END",
@@ -45,18 +45,33 @@ def export(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select(*[F.expr(e).alias(n) for n, e in EXPORT.items()])
 
 
+_exports: dict[tuple[str, str], str] = {}
+
+
 def written_export(spark: SparkSession, d: str) -> str:
-    """The bound export as CSV files of two encodings, in a folder that all executors see."""
-    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
-    rows = export(spark, d)
-    odd = F.col("Versorgungsbereich") == "Kreis Feld0"
-    for encoding, part in (("UTF-8", rows.where(odd)), ("ISO-8859-1", rows.where(~odd))):
-        part.write.mode("append").csv(path, header=True, sep=";", encoding=encoding, emptyValue="", escape="\\")
-    return path
+    """The bound export as CSV files of two encodings, in a folder that all executors see; written once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _exports:
+        path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+        rows = export(spark, d)
+        odd = F.col("Versorgungsbereich") == "Kreis Feld0"
+        for encoding, part in (("UTF-8", rows.where(odd)), ("ISO-8859-1", rows.where(~odd))):
+            part.write.mode("append").csv(path, header=True, sep=";", encoding=encoding, emptyValue="", escape="\\")
+        _exports[key] = path
+    return _exports[key]
+
+
+_typed: dict[tuple[str, str], str] = {}
 
 
 def typed(spark: SparkSession, d: str) -> DataFrame:
-    return C.allocations(C.routed(C.read_rows(spark, written_export(spark, d)))["allocations"])
+    """The export's allocations with typed cells, written once an application as an import would leave them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _typed:
+        path = f"{shared_dir(spark)}/typed-{uuid.uuid4().hex}"
+        C.allocations(C.routed(C.read_rows(spark, written_export(spark, d)))["allocations"]).write.parquet(path)
+        _typed[key] = path
+    return spark.read.parquet(_typed[key])
 
 
 def _routes(rows: DataFrame) -> DataFrame:
@@ -93,7 +108,7 @@ _CELLS = ", ".join(f'{e} AS "{n}"' for n, e in EXPORT.items())
 _SRC = f"WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, {_CELLS} FROM orders), a AS (SELECT * FROM x WHERE k % 37 <> 0)"
 _TYPED = _SRC + """, t AS (SELECT k, c, nullif("Krankenhaus-Kurzname", '') AS hospital,
   CASE WHEN k % 5 < 2 THEN 'Feld' || c % 3 ELSE 'Ort' || c % 4 END AS dispatch_area,
-  CASE WHEN k % 47 <> 0 THEN strptime("Datum (Eintreffzeit)" || ' 10:19', '%d.%m.%Y %H:%M') END AS created_at,
+  CASE WHEN k % 47 <> 0 THEN strptime("Datum (Eintreffzeit)" || ' 11:36', '%d.%m.%Y %H:%M') END AS created_at,
   strptime("Datum (Eintreffzeit)" || ' ' || substr("Uhrzeit (Eintreffzeit)", 1, 5), '%d.%m.%Y %H:%M') AS arrival_at,
   CASE k % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE 'X' END AS gender, CASE WHEN c % 19 <> 0 THEN c % 103 END AS age,
   CASE k % 6 WHEN 2 THEN 'A' WHEN 3 THEN NULL ELSE 'G' END AS transport_type,

@@ -15,9 +15,11 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_records import parsed, records
+
 #: Spellings of a header's letters, signals of a row's type, words for true and false.
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 MASS_SIGNALS = ("manv", "manv_id")
@@ -102,8 +104,9 @@ def composed(df: DataFrame) -> DataFrame:
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """All cells as trimmed text under normalised names, with _file and _line; rows without any text are left out.
 
-    Files may differ in encoding and header. Quoted cells may hold line breaks, so a file is read
-    by one task; rows are cut or filled up to the header's width.
+    Files may differ in encoding and header. Quoted cells may hold line breaks; a file is read by
+    as many tasks as it has splits all the same (``csv_records``), and _line is the line in the file
+    on which a record begins. Rows are cut or filled up to the header's width.
     """
     groups: dict[tuple, list[str]] = {}
     for name, head in heads(spark, path).items():
@@ -115,10 +118,8 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     parts = []
     for (encoding, first), files in groups.items():
         names = normalized_header(list(first))
-        schema = ", ".join(f"`{n}` string" for n in names)
-        rows = spark.read.options(sep=";", quote='"', escape="\\", encoding=encoding, header=False, multiLine=True, mode="PERMISSIVE").schema(schema).csv(files)
-        rows = rows.select(*[F.btrim(F.regexp_replace(n, "^﻿", ""), F.lit(BLANK)).alias(n) for n in names], F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-        rows = rows.withColumn("_line", F.row_number().over(Window.partitionBy("_file").orderBy("_at"))).drop("_at")
+        rows = parsed(records(spark, files), names, encoding)
+        rows = rows.select(*[F.btrim(F.regexp_replace(n, "^﻿", ""), F.lit(BLANK)).alias(n) for n in names], "_file", "_line")
         parts.append(rows.where((F.col("_line") > 1) & (F.concat_ws("", *names) != "")))
     return composed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
@@ -293,13 +294,29 @@ def said(messages_: Column) -> Column:
     return F.array_join(F.transform(messages_, lambda m: F.concat(m["field"], F.lit(": "), m["reason"])), " | ")
 
 
+#: Bytes of a reference table up to which every task gets it whole; larger ones are joined by a shuffle with salts.
+SMALL, SALTS = 8 << 20, 16
+
+
 def resolved(rows: DataFrame, reference: DataFrame, name: str, out: str, aliases: dict[str, str] | None = None) -> DataFrame:
-    """The id of a reference table's entry (id, name) of the same name but for case and blanks, or of its alias; null without one."""
+    """The id of a reference table's entry (id, name) of the same name but for case and blanks, or of its alias; null without one.
+
+    Names are few and each may have very many rows. A reference table of up to SMALL bytes, by
+    its measured names, goes to every task; a larger one meets the rows by name and a salt.
+    """
     known = reference.groupBy(collapsed(F.col("name")).alias("_key")).agg(F.min("id").alias(out))
     key = collapsed(F.col(name))
-    for alias, meant in (aliases or {}).items():
-        key = F.when(key == alias, F.lit(meant)).otherwise(key)
-    return rows.join(known, key == F.col("_key"), "left").drop("_key")
+    if aliases:
+        meant = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+        key = F.coalesce(F.element_at(meant, F.col("_key")), F.col("_key"))
+        keyed = rows.withColumn("_key", collapsed(F.col(name))).withColumn("_key", key)
+    else:
+        keyed = rows.withColumn("_key", key)
+    size = known.agg(F.coalesce(F.sum(F.octet_length("_key") + 16), F.lit(0)).alias("n")).first()["n"]
+    if size <= SMALL:
+        return keyed.join(F.broadcast(known), "_key", "left").drop("_key")
+    salted = known.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
 def referenced(rows: DataFrame, references: dict[str, tuple[DataFrame, dict[str, str]]]) -> tuple[DataFrame, DataFrame]:
