@@ -96,9 +96,19 @@ def _creative() -> list[tuple[str, str, str]]:
     return [(f"CC-{n}-{v}.0", kind, rf"(?:[^\n]{{1,200}} (?:is|are) )?licensed under (?:a|the) creative commons attribution{words} {v} 0(?: international| unported| generic)?(?: public)?(?: license)?(?: (?:http|to view)[^\n]*)?") for n, words, kind in parts for v in (4, 3, 2)]
 
 
+def _eclipse() -> list[tuple[str, str, str]]:
+    made = "this program and the accompanying materials are made available under the terms of the "
+    where = r"(?: which (?:is available|accompanies) [^\n]*)?"
+    return [(f"EPL-{v}.0", "copyleft", rf"(?:{made})?eclipse public license (?:v ?|version )?{v} 0{where}") for v in (2, 1)]
+
+
+_ZLIB = "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"
+_BOOST = r"distributed under the boost software license version 1 0(?: see [^\n]*)?|boost software license version 1 0 august 17th 2003"
+#: Titles that stand alone over a licence's text, or in its place.
+TITLES = (("MIT", "mit license"), ("ISC", "isc license"), ("BSD-2-Clause", "bsd 2 clause license"), ("BSD-3-Clause", "bsd 3 clause license"))
 #: Licence, kind, pattern. Single sentences of RULES count here too, so that they may be wrapped.
 NOTICES = (
-    ("Apache-2.0", "permissive", r"licensed under the apache license version 2 0 the license you may not use [^\n]{1,60} except in compliance with the license|apache license version 2 0 january 2004(?: http[^\n]*)?"),
+    ("Apache-2.0", "permissive", r"(?:licensed|[^\n]{1,80} licenses this file to you) under the apache license version 2 0 the license you may not use [^\n]{1,60} except in compliance with the license|apache license version 2 0 january 2004(?: http[^\n]*)?"),
     ("MIT", "permissive", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("ISC", "permissive", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("BSD-3-Clause", "permissive", _NEITHER),
@@ -110,6 +120,11 @@ NOTICES = (
     ("Unlicense", "permissive", r"this is free and unencumbered software released into the public domain"),
     ("CC0-1.0", "permissive", r"to the extent possible under law [^\n]{1,200} waived all copyright and related or neighboring rights to [^\n]+|[^\n]{1,200} is (?:marked with|licensed under) cc0 1 0(?: universal)?"),
     *_creative(),
+    *_eclipse(),
+    ("Zlib", "permissive", _ZLIB),
+    ("BSL-1.0", "permissive", _BOOST),
+    ("LicenseRef-BSD-style", "permissive", r"use of this source code is governed by a bsd style license that can be found in the license file(?: [^\n]*)?"),
+    *((name, "permissive", f"(?:the )?{title}") for name, title in TITLES),
     *((name, kind, SENTENCES[numbers[0]]) for name, kind, numbers in RULES if len(numbers) == 1 and name not in ("BSD-2-Clause", "Proprietary")),
 )
 #: Beside these grants "all rights reserved" is part of the notice.
@@ -121,6 +136,8 @@ SPDX_PERMISSIVE = r"(Apache|MIT|BSD|ISC|Zlib|BSL|CC0|CC-BY-[0-9]|Unlicense|0BSD|
 SPDX_COPYLEFT = r"(GPL|LGPL|AGPL|MPL|EPL|EUPL|CDDL|CC-BY-SA|OSL|CECILL).*"
 #: What counts most when a text has several licences.
 ORDER = ("restricted", "copyleft", "permissive")
+#: A dot behind these words ends no joined sentence where a small letter, a digit or a bracket follows, and one behind an initial ends none.
+ABBREVIATED = r"(?<!\b[A-Z]\.)(?!(?<=\bInc\.|\bLtd\.|\bCo\.|\bCorp\.|\bv\.)[ \t\r\n*#/;]+[a-z0-9(])"
 END = r"[.!?]+([ \t\r\n]|\z)"
 BETWEEN = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,7 +156,7 @@ def sentences(text: Column) -> Column:
 
 def joined(text: Column) -> Column:
     """The normalised sentences of joined lines, each between line breaks."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?]+(?=[ \t\r\n]|\z)|:[ \t\r]*(?=\n)|\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n", "\x01")
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[.!?]+(?=[ \t\r\n]|\z){ABBREVIATED}|:[ \t\r]*(?=\n)|\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n", "\x01")
     flat = F.regexp_replace(F.translate(cut, UPPER, LOWER), r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     return F.concat(F.lit("\n"), F.regexp_replace(flat, r" *\x01[ \x01]*", "\n"), F.lit("\n"))
 

@@ -261,7 +261,35 @@ published by the Free Software Foundation.
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this file
 """
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+BOOST = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt)
+"""
+STYLE = """Use of this source code is governed by a BSD-style license that can be
+found in the LICENSE file.
+"""
+HOLDERS = ("Google Inc.", "Some Name Co., Ltd.", "Any Corp.", "J. Doe Ltd.")
 GENUINE = [
+    (ASF, "Apache-2.0", "permissive"), (EPL, "EPL-2.0", "copyleft"), (EPL.replace("License 2.0", "License v1.0"), "EPL-1.0", "copyleft"), (ZLIB, "Zlib", "permissive"), (BOOST, "BSL-1.0", "permissive"), (STYLE, "LicenseRef-BSD-style", "permissive"),
+    *((BSD.replace("Somebody", h) + NAMES.replace("the copyright holder", h), "BSD-3-Clause", "permissive") for h in HOLDERS), *((BSD.replace("Somebody", h), "BSD-2-Clause", "permissive") for h in HOLDERS),
+    ("MIT License\n\nCopyright (c) 2020 Somebody\n", "MIT", "permissive"), ("BSD 3-Clause License\n\n" + BSD.replace("Somebody", "Any Inc.") + NAMES, "BSD-3-Clause", "permissive"), ("The MIT License is one of many.\nSo is the Eclipse Public License 2.0 or another.", "", "none"),
     (APACHE, "Apache-2.0", "permissive"), (MIT, "MIT", "permissive"), (BSD, "BSD-2-Clause", "permissive"), (BSD + NAMES, "BSD-3-Clause", "permissive"), (GPL, "GPL-3.0-or-later", "copyleft"), (ONLY, "GPL-2.0-only", "copyleft"), (MPL, "MPL-2.0", "copyleft"),
     (GPL.replace("GNU", "GNU Affero"), "AGPL-3.0-or-later", "copyleft"), (GPL.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"), "LGPL-2.1-or-later", "copyleft"),
     ("This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0", "restricted"), ("SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)", "MIT,GPL-2.0-only", "copyleft"),
