@@ -12,12 +12,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A quote that ends a cell: not escaped, and before a separator or the end of the line.
 _CLOSING = re.compile(rb'(?:[^"\\]|\\.|\\$|"(?![ \t]*(?:;|\r?$)))*+"[ \t]*(?=;|\r?$)', re.DOTALL)
+#: Least number of lines without a quote that are taken together.
+PLAIN = 16
 #: Lines of a split: the file, the byte at which the split begins, the line's bytes.
 _PLACE = ("file", "block")
 
@@ -48,15 +52,36 @@ def lines(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
 
 
-def _splits(batches: Iterator[pa.RecordBatch], more: int = 0) -> Iterator[tuple[tuple, list[bytes]]]:
+def _splits(batches: Iterator[pa.RecordBatch], more: int = 0) -> Iterator[tuple[tuple, pa.Array]]:
     """Batches of lines of one split each, with its place and further columns that are the same for all its lines."""
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in range(3 + more)]
-        a = 0
-        for i in range(1, batch.num_rows + 1):
-            if i == batch.num_rows or columns[0][i] != columns[0][a] or columns[1][i] != columns[1][a]:
-                yield tuple(c[a] for c in (*columns[:2], *columns[3:])), columns[2][a:i]
-                a = i
+        file, block, n = batch.column(0), batch.column(1), batch.num_rows
+        other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])) if n > 1 else pa.array([], pa.bool_())
+        ends = [*(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            if z > a:
+                yield tuple(batch.column(c)[a].as_py() for c in (0, 1, *range(3, 3 + more))), batch.column(2)[a:z]
+
+
+def _runs(part: pa.Array) -> Iterator[tuple[bool, pa.Array]]:
+    """Lines in order: stretches without any quote (True), which need no look at single lines, and others."""
+    a, n = 0, len(part)
+    quoted = np.flatnonzero(pc.match_substring(part, pattern='"').to_numpy(zero_copy_only=False))
+    ends = np.append(quoted, n)
+    begins = np.append(0, quoted + 1)
+    for i in np.flatnonzero(ends - begins >= PLAIN):
+        if begins[i] > a:
+            yield False, part[a : begins[i]]
+        yield True, part[begins[i] : ends[i]]
+        a = int(ends[i])
+    if a < n:
+        yield False, part[a:]
+
+
+def _without_return(found: pa.Array) -> pa.Array:
+    """Lines without a carriage return at the end."""
+    ends = pc.ends_with(found, pattern="\r")
+    return pc.if_else(ends, pc.binary_slice(found, 0, -1), found) if pc.any(ends).as_py() else found
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -75,12 +100,17 @@ def summed(rows: DataFrame) -> DataFrame:
                 if at is not None:
                     yield done()
                 at, n, state, last = place, 0, [False, True], [-1, -1]
-            for line in part:
-                for k in (0, 1):
-                    if not state[k]:
-                        last[k] = n
-                    state[k] = ends_inside(line, state[k])
-                n += 1
+            for plain, found in _runs(part):
+                if plain:
+                    n += len(found)
+                    last = [at_ if inside else n - 1 for at_, inside in zip(last, state, strict=True)]
+                    continue
+                for line in found.to_pylist():
+                    for k in (0, 1):
+                        if not state[k]:
+                            last[k] = n
+                        state[k] = ends_inside(line, state[k])
+                    n += 1
         if at is not None:
             yield done()
 
@@ -120,17 +150,26 @@ def records(spark: SparkSession, files: list[str]) -> DataFrame:
                 if held:
                     out.append(piece(False))  # it goes on in the next split, or the file ends in a cell
                 at, inside, before, opened, held, cut = (file, block), starts_inside, lines_before, open_line, [], starts_inside
-            for line in part:
-                before += 1
-                if not inside:
-                    opened, cut = before, False
-                if not held:
-                    first = before
-                inside = ends_inside(line, inside)
-                held.append(line.removesuffix(b"\r"))
-                if not inside:
-                    out.append(piece(True))
-                    held = []
+            for plain, found in _runs(part):
+                if plain and not inside:
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
+                        out = []
+                    n, line_of = len(found), pa.array(np.arange(before + 1, before + len(found) + 1))
+                    before, opened, cut = before + n, before + n, False
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file), n), line_of, line_of, _without_return(found), pa.repeat(pa.scalar(True), n)], names)
+                    continue
+                for line in found.to_pylist():
+                    before += 1
+                    if not inside:
+                        opened, cut = before, False
+                    if not held:
+                        first = before
+                    inside = ends_inside(line, inside)
+                    held.append(line.removesuffix(b"\r"))
+                    if not inside:
+                        out.append(piece(True))
+                        held = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
         if held:
@@ -143,9 +182,17 @@ def records(spark: SparkSession, files: list[str]) -> DataFrame:
     return cut.where("whole").select("_file", "_line", "record").unionByName(joined)
 
 
-def parsed(found: DataFrame, names: list[str], encoding: str) -> DataFrame:
-    """_file, _line and the cells of records: cut or filled up to the names."""
+def celled(found: DataFrame, names: list[str], encoding: str) -> DataFrame:
+    """_file, _line and c, a struct of the cells of records: cut or filled up to the names.
+
+    Exploded from an array of one, so that a record is parsed once and not again for each cell.
+    """
     schema = ", ".join(f"`{n}` string" for n in names)
     text: Column = F.decode("record", encoding)
     cells = F.from_csv(text, schema, {"sep": ";", "quote": '"', "escape": "\\", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
-    return found.select("_file", "_line", cells.alias("c")).select("_file", "_line", "c.*")
+    return found.select("_file", "_line", F.explode(F.array(cells)).alias("c"))
+
+
+def parsed(found: DataFrame, names: list[str], encoding: str) -> DataFrame:
+    """_file, _line and the cells of records."""
+    return celled(found, names, encoding).select("_file", "_line", "c.*")

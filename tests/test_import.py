@@ -56,6 +56,13 @@ def test_files_of_other_headers_and_composed_letters(spark, tmp_path):
         C.read_rows(spark, str(tmp_path))
 
 
+def test_wide_files_are_parsed_once_and_planned_quickly(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(";".join(f"c{i}" for i in range(10)) + "\n" + ";" * 9 + "\n" + "1" + ";" * 9 + "\n")
+    plan = C.read_rows(spark, str(tmp_path / "a.csv"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("from_csv(") == 1  # not again for each cell
+    assert plan.constraints().size() < 50  # not one for every set of cells
+
+
 def test_rules_of_cells(spark):
     def each(f, *texts):
         return [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def test_chained_splits():
     assert got == [("a", 0, False, 0, 0), ("a", 9, True, 4, 4), ("a", 20, True, 7, 4), ("b", 0, False, 0, 0)]
 
 
+def test_stretches_without_quotes_are_taken_together(spark, tmp_path, monkeypatch):
+    plain = "".join(f"{i};x{'\r' if i % 3 == 0 else ''}\n" for i in range(40))
+    (tmp_path / "a.csv").write_text(plain + '1;"two\n' + plain + 'lines"\n' + plain + '2;"open\n' + plain, newline="")
+    files = [f"file:{tmp_path}/a.csv"]
+    together = sorted((x._line, bytes(x.record)) for x in R.records(spark, files).collect())
+    assert len(together) == 40 + 1 + 40 + 1 and max(x.count(b"\n") for _, x in together) == 41 and b"\r" not in b"".join(x for _, x in together)
+    part = pa.array([b"a"] * 20 + [b'"'] + [b"b"] * 3 + [b'"'] + [b"c"] * 16)
+    assert [(whole, len(x)) for whole, x in R._runs(part)] == [(True, 20), (False, 5), (True, 16)]
+
+
 @pytest.mark.parametrize("most", ["120", "1000", "64m"])
 def test_records_as_one_task_would_read_them(spark, tmp_path, most):
     r = random.Random(7)
