@@ -25,7 +25,7 @@ DUCK = "WITH log AS (SELECT *, concat_ws('-', user_id, strftime(ts, '%Y-%m-%d'))
 
 def recent(spark: SparkSession, d: str) -> DataFrame:
     """Requests and distinct users of the last day, week and month. A row for each session, then for each user: no row is copied for the distinct counts."""
-    age = F.expr(f"timestampdiff(SECOND, ts, {_STAMP})") / 86400
+    age = F.expr(f"ceil(timestampdiff(MICROSECOND, ts, {_STAMP}) / 1000000D)") / 86400  # whole seconds of the clock, so parts of ts's second count
     rows = log(spark, d).withColumn("age", age).where("age > 0 AND age <= 30")
     per = rows.groupBy("user_id", "session").agg(F.min("age").alias("age"), *[F.count_if(F.col("age") <= n).alias(f"r{n}") for n in (1, 7, 30)])
     users = per.groupBy("user_id").agg(F.min("age").alias("age"), *[F.sum(f"r{n}").alias(f"r{n}") for n in (1, 7, 30)], F.count_if(F.col("age") <= 7).alias("s7"))

@@ -121,3 +121,15 @@ def test_overview_of_all_hospitals(spark):
 @pytest.mark.parametrize("name", ["usage_daily", "kpi_daily_all", "overview_metrics_platform"])
 def test_daily_as_duckdb(spark, name):
     test_same_as_duckdb(spark, name)
+
+
+def test_recent_requests_at_the_edge_of_a_second(spark, tmp_path):
+    stamps = ["2024-01-12 23:59:59.5", "2024-01-13 00:00:00.5", "2024-01-18 23:59:59.999999", "2024-01-19 00:00:00", "2024-01-19 23:59:59.5", "2024-01-20 00:00:00", "2024-01-20 00:00:00.5"]
+    rows = spark.createDataFrame([(i, s, i, "view", 1.0, '{"k": 1}') for i, s in enumerate(stamps)], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    f, sql = usage.QUERIES["usage_recent"]
+    want = db.execute(sql)
+    names = [d[0] for d in want.description]
+    assert tuple(f(spark, str(tmp_path)).select(*names).first()) == want.fetchone()
