@@ -145,3 +145,14 @@ def test_totals_and_grains(spark):
     assert set(n.values()) == {f.count()}
     with pytest.raises(ValueError):
         Analysis("hospital_size", metrics=("hospital_count",), source="hospitals", filters=(("gender", ("1",)),))
+
+
+def test_facts_are_moved_by_the_columns_they_follow_from(spark):
+    laid = binding.laid_out(spark, SF)
+    plan = laid._jdf.queryExecution().optimizedPlan()
+    moved = plan.toString().split("RebalancePartitions")[1].split("\n")[1]  # what is moved
+    assert moved.count("#") < 60 and "case_id" not in moved and "fact_key" not in moved
+    whole = binding.built_facts(spark, SF)
+    assert sorted(laid.columns) == sorted(whole.columns) and dict(laid.dtypes) == dict(whole.dtypes)
+    one = whole.select(*laid.columns)
+    assert laid.exceptAll(one).count() == 0 and laid.count() == one.count()
