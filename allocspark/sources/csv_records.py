@@ -182,17 +182,12 @@ def records(spark: SparkSession, files: list[str]) -> DataFrame:
     return cut.where("whole").select("_file", "_line", "record").unionByName(joined)
 
 
-def celled(found: DataFrame, names: list[str], encoding: str) -> DataFrame:
-    """_file, _line and c, a struct of the cells of records: cut or filled up to the names.
+def parsed(found: DataFrame, names: list[str], encoding: str) -> DataFrame:
+    """_file, _line and the cells of records: cut or filled up to the names.
 
     Exploded from an array of one, so that a record is parsed once and not again for each cell.
     """
     schema = ", ".join(f"`{n}` string" for n in names)
     text: Column = F.decode("record", encoding)
     cells = F.from_csv(text, schema, {"sep": ";", "quote": '"', "escape": "\\", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
-    return found.select("_file", "_line", F.explode(F.array(cells)).alias("c"))
-
-
-def parsed(found: DataFrame, names: list[str], encoding: str) -> DataFrame:
-    """_file, _line and the cells of records."""
-    return celled(found, names, encoding).select("_file", "_line", "c.*")
+    return found.select("_file", "_line", F.explode(F.array(cells)).alias("c")).select("_file", "_line", "c.*")
