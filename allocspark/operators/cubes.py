@@ -31,6 +31,7 @@ class Cube:
 
 
 CUBES = {
+    "by_period": Cube(("created_year", "created_month"), (SERIES, MINUTES, TYPE, *HEAT)),
     "by_hospital": Cube(("created_year", "created_month", "hospital_id"), (SERIES, MINUTES, TYPE, *PEOPLE, *HEAT, ("indication", "indication_id", None), ("speciality", "speciality_id", None), ("month", "created_month", None))),
     "by_indication": Cube(("indication_id",), (SERIES, MINUTES, *PEOPLE, *HEAT, ("gender_age", "gender_code", "age_bucket"), ("gender_urgency", "gender_code", "urgency_code"))),
 }
@@ -45,17 +46,17 @@ def cells(rows: DataFrame, cube: Cube) -> DataFrame:
     return wide.select(*keys, shown).groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")).select(*keys, "cell.*", "n")
 
 
-def built(store: Store, rows: DataFrame) -> None:
-    """All cubes of all imports, in one change."""
+def built(store: Store, rows: DataFrame, names: tuple[str, ...] = tuple(CUBES)) -> None:
+    """All cubes, or those named, of all imports, in one change."""
     with store.change() as change:
-        for name, cube in CUBES.items():
-            change.replace_by(name, F.col("import_id"), cells(rows, cube))
+        for name in names:
+            change.replace_by(name, F.col("import_id"), cells(rows, CUBES[name]))
 
 
-def replaced(store: Store, import_id: int, rows: DataFrame) -> None:
-    """An import's counts in all cubes, from its rows now."""
+def replaced(store: Store, import_id: int, rows: DataFrame, names: tuple[str, ...] = tuple(CUBES)) -> None:
+    """An import's counts in all cubes, or those named, from its rows now."""
     own = rows.where(F.col("import_id") == import_id)
-    replaced_import(store, import_id, {name: cells(own, cube) for name, cube in CUBES.items()})
+    replaced_import(store, import_id, {name: cells(own, CUBES[name]) for name in names})
 
 
 def rolled_up(store: Store, cube: str, kinds: list[Kind], values: dict[str, str], where: str = "", skip_null: tuple[str, ...] = (), imports: list[int] | None = None) -> DataFrame:
@@ -72,23 +73,23 @@ def rolled_up(store: Store, cube: str, kinds: list[Kind], values: dict[str, str]
 
 #: The slices of four dashboards: cube, kinds, values, rows that count, kinds without their nulls.
 SLICES = {
-    "overview": ("by_hospital", [SERIES, MINUTES, TYPE, *HEAT], {"n": "TRUE"}, "", ("transport_type",)),
+    "overview": ("by_period", [SERIES, MINUTES, TYPE, *HEAT], {"n": "TRUE"}, "", ("transport_type",)),
     "indication": ("by_indication", [SERIES, MINUTES, *PEOPLE, *HEAT, ("gender_age", "gender_code", "age_bucket"), ("gender_urgency", "gender_code", "urgency_code")], {"n": "TRUE"}, INDICATION, ()),
     "compare": ("by_indication", [SERIES, MINUTES, *PEOPLE, *HEAT], {"n1": SIDE_A, "n2": SIDE_B}, f"{SIDE_A} OR {SIDE_B}", ()),
     "benchmark": ("by_hospital", [MINUTES, TYPE, *PEOPLE, *HEAT, ("indication", "indication_id", None), ("speciality", "speciality_id", None), ("month", "created_month", None)], {"n1": PRIMARY, "n2": COMPARISON}, f"({PRIMARY}) OR ({COMPARISON})", ()),
 }
 #: What is left of the facts after one import was replaced by a part of itself, and another one withdrawn.
 LEFT = "import_id <> 199606 AND (import_id <> 199605 OR hospital_id % 2 = 0)"
-_kept: dict[tuple[str, str], Store] = {}
+_kept: dict[tuple[str, str, str], Store] = {}
 
 
-def _cubes(spark: SparkSession, d: str) -> Store:
-    """The cubes of a folder of tables, built once an application, then changed by two imports."""
-    key = (spark.sparkContext.applicationId, d)
+def _kept_cube(spark: SparkSession, d: str, cube: str) -> Store:
+    """One cube of a folder of tables, built once an application, then changed by two imports. A slice pays for its own grain only."""
+    key = (spark.sparkContext.applicationId, d, cube)
     if key not in _kept:
         store, rows = Store(spark, f"{shared_dir(spark)}/cubes-{uuid.uuid4().hex}"), facts(spark, d)
-        built(store, rows)
-        replaced(store, 199605, rows.where("hospital_id % 2 = 0"))
+        built(store, rows, (cube,))
+        replaced(store, 199605, rows.where("hospital_id % 2 = 0"), (cube,))
         dropped_import(store, 199606)
         _kept[key] = store
     return _kept[key]
@@ -97,7 +98,7 @@ def _cubes(spark: SparkSession, d: str) -> Store:
 def _pair(name: str) -> Pair:
     cube, kinds, values, where, skip = SLICES[name]
     counts = {k: f"count(CASE WHEN {c} THEN 1 END)" for k, c in values.items()}
-    return (lambda spark, d: rolled_up(_cubes(spark, d), cube, kinds, values, where, skip)), _duck_slice(kinds, counts, f"({LEFT}) AND ({where or 'TRUE'})", skip)
+    return (lambda spark, d: rolled_up(_kept_cube(spark, d, cube), cube, kinds, values, where, skip)), _duck_slice(kinds, counts, f"({LEFT}) AND ({where or 'TRUE'})", skip)
 
 
 QUERIES: dict[str, Pair] = {f"cube_{name}_slice": _pair(name) for name in SLICES}

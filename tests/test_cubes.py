@@ -40,3 +40,10 @@ def test_slices_follow_imports_without_reading_facts(spark, tmp_path):
     assert shown(some.where("slice_kind <> 'transport_type'")) == shown(of_facts(left.where("import_id IN (199701, 199702)"), "overview").where("slice_kind <> 'transport_type'"))
     with pytest.raises(ValueError, match="gender_age"):
         C.rolled_up(store, "by_hospital", [("gender_age", "gender_code", "age_bucket")], {"n": "TRUE"})
+
+
+def test_a_slice_builds_its_own_cube_only(spark):
+    for name, (cube, *_) in C.SLICES.items():
+        C.QUERIES[f"cube_{name}_slice"][0](spark, SF)
+        assert list(C._kept_cube(spark, SF, cube).state()) == [cube]
+    assert C.SLICES["overview"][0] == "by_period"  # it puts no condition on hospitals
