@@ -1,7 +1,8 @@
 """Counts by fine grain, kept by import, from which slices of dashboards are rolled up without reading facts.
 
 A cube has axes, on which sides and scopes put conditions, and kinds, the distributions that
-slices show: a row counts an import's allocations by axes and one kind's values. Counts are
+slices show: a row counts an import's allocations by axes and one kind's values, or, where axes are so fine that
+hardly two rows share them, by axes and the values of all kinds together. Counts are
 additive, so an import is added or withdrawn with its part of the cube, in the same change as
 its facts, and any slice is a sum over parts.
 """
@@ -18,28 +19,31 @@ from ..functions import semantics as S
 from ..session import shared_dir
 from ..sources.binding import facts
 from .aggregates import COMPARISON, INDICATION, PRIMARY, SIDE_A, SIDE_B, Pair
-from .slices import HEAT, MINUTES, PEOPLE, SERIES, TYPE, Kind, _duck_slice
+from .slices import HEAT, MINUTES, PEOPLE, SERIES, TYPE, Kind, _duck_slice, grouping_slice
 from .store import Store, dropped_import, replaced_import
 
 
 @dataclass(frozen=True)
 class Cube:
-    """Columns that conditions may use, and the distributions that it can give."""
+    """Columns that conditions may use, the distributions that it can give, and whether these are counted together: at most a row for each allocation, not one for each kind."""
 
     axes: tuple[str, ...]
     kinds: tuple[Kind, ...]
+    together: bool = False
 
 
 CUBES = {
     "by_period": Cube(("created_year", "created_month"), (SERIES, MINUTES, TYPE, *HEAT)),
-    "by_hospital": Cube(("created_year", "created_month", "hospital_id"), (SERIES, MINUTES, TYPE, *PEOPLE, *HEAT, ("indication", "indication_id", None), ("speciality", "speciality_id", None), ("month", "created_month", None))),
+    "by_hospital": Cube(("created_year", "created_month", "hospital_id"), (SERIES, MINUTES, TYPE, *PEOPLE, *HEAT, ("indication", "indication_id", None), ("speciality", "speciality_id", None), ("month", "created_month", None)), together=True),
     "by_indication": Cube(("indication_id",), (SERIES, MINUTES, *PEOPLE, *HEAT, ("gender_age", "gender_code", "age_bucket"), ("gender_urgency", "gender_code", "urgency_code"))),
 }
 
 
 def cells(rows: DataFrame, cube: Cube) -> DataFrame:
-    """import_id, axes, slice_kind, dim1, dim2 (as texts) and n of the rows."""
+    """import_id, axes, slice_kind, dim1, dim2 (as texts) and n of the rows; of kinds counted together import_id, axes, all kinds' keys and n."""
     wide = rows.withColumns({"minutes_bucket": F.expr(S.minute_buckets()), "age_bucket": F.expr(S.ages(17))})
+    if cube.together:
+        return wide.groupBy(*dict.fromkeys(("import_id", *cube.axes, *(k for _, a, b in cube.kinds for k in (a, b) if k)))).agg(F.count(F.lit(1)).alias("n"))
     text = lambda k: F.expr(S.text(k)) if k else F.lit(None).cast("string")
     shown = F.explode(F.array(*[F.struct(F.lit(name).alias("slice_kind"), text(a).alias("dim1"), text(b).alias("dim2")) for name, a, b in cube.kinds])).alias("cell")
     keys = ("import_id", *cube.axes)
@@ -64,8 +68,12 @@ def rolled_up(store: Store, cube: str, kinds: list[Kind], values: dict[str, str]
     unknown = {name for name, _, _ in kinds} - {name for name, _, _ in CUBES[cube].kinds}
     if unknown:
         raise ValueError(f"{cube} has no {', '.join(sorted(unknown))}")
-    rows = store.read(cube, imports).where(F.col("slice_kind").isin([name for name, _, _ in kinds]))
+    rows = store.read(cube, imports)
     rows = rows.where(where) if where else rows
+    if CUBES[cube].together:
+        counted = rows.withColumns({name: F.expr(f"CASE WHEN {c} THEN n ELSE 0 END") for name, c in ({} if values == {"n": "TRUE"} else values).items()})
+        return grouping_slice(counted, kinds, {name: f"sum({name})" for name in values}, skip_null)
+    rows = rows.where(F.col("slice_kind").isin([name for name, _, _ in kinds]))
     if skip_null:
         rows = rows.where(~(F.col("slice_kind").isin(list(skip_null)) & F.col("dim1").isNull()))
     return rows.groupBy("slice_kind", "dim1", "dim2").agg(*[F.sum(F.expr(f"CASE WHEN {c} THEN n ELSE 0 END")).alias(name) for name, c in values.items()])

@@ -47,3 +47,10 @@ def test_a_slice_builds_its_own_cube_only(spark):
         C.QUERIES[f"cube_{name}_slice"][0](spark, SF)
         assert list(C._kept_cube(spark, SF, cube).state()) == [cube]
     assert C.SLICES["overview"][0] == "by_period"  # it puts no condition on hospitals
+
+
+def test_kinds_counted_together_have_no_more_rows_than_the_facts(spark, tmp_path):
+    rows, store = facts(spark, SF).where("created_year = 1997"), Store(spark, str(tmp_path))
+    C.built(store, rows, ("by_hospital",))
+    cube = store.read("by_hospital")
+    assert cube.count() <= rows.count() == cube.agg(F.sum("n")).first()[0]
