@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .aggregates import Pair
 from .maintenance import DEDUP, _repeated, cased
-from .store import Store
+from .store import Change, Store
 
 #: Tables of the index: rows that stand for cases, by month; removed rows, by the import that removed them.
 CASES, REMOVED = "cases", "removed"
@@ -35,7 +35,12 @@ def _ranked(rows: DataFrame) -> DataFrame:
 def built(store: Store, rows: DataFrame) -> None:
     """The index of all rows, from nothing."""
     with store.change() as change:
-        change.replace_by(CASES, F.col("month"), _ranked(entries(rows)).where("rn = 1").drop("rn"))
+        _put_cases(change, rows)
+
+
+def _put_cases(change: Change, rows: DataFrame) -> None:
+    """The cases of all months that rows hold. They are moved once, to ranges of months and cases, in which they are both ranked and written."""
+    change.replace_by(CASES, F.col("month"), _ranked(entries(rows).repartitionByRange("month", "case_key")).where("rn = 1").drop("rn"), laid=True)
 
 
 def applied(store: Store, import_id: int, rows: DataFrame) -> dict[str, int]:
@@ -71,7 +76,7 @@ def withdrawn(store: Store, import_id: int, rows: DataFrame) -> list[str]:
         for month in months:
             change.drop(CASES, month)
         if months:
-            change.replace_by(CASES, F.col("month"), _ranked(entries(left)).where("rn = 1").drop("rn"))
+            _put_cases(change, left)
         if gone is not None:
             change.drop(REMOVED, import_id)
     return months

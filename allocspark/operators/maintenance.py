@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from ..sources.binding import duck_with, facts, hospitals, projected, raw_allocations
+from ..sources.binding import allocations_by_import, duck_with, facts, hospitals, projected
 from .aggregates import Pair
 
 #: Limits of data quality and of disclosure control.
@@ -17,18 +17,18 @@ OPTIONAL = ("notes", "assessment_id", "secondary_indication_id", "occasion_id",
 
 
 def cased(rows: DataFrame) -> DataFrame:
-    """Rows with ``event``, ``complete`` and ``case_key``. A case is a hospital's case id and event; without a case id the event alone."""
+    """Rows with ``event``, ``complete`` and ``case_key`` (bytes). A case is a hospital's case id and event; without a case id the event alone."""
     shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c.endswith("_at") else F.col(c).cast("string") for c in PRINT]
-    event = F.md5(F.concat_ws("|", *shown).cast("binary"))
+    event = F.unhex(F.md5(F.concat_ws("|", *shown).cast("binary")))
     complete = sum(((F.col(c).isNotNull() & (F.col(c).cast("string") != "")).cast("int") for c in OPTIONAL), F.lit(0))
-    case = F.when(F.col("case_id").isNotNull(), F.concat_ws("|", F.lit("c"), "hospital_id", "case_id", "event")).otherwise(F.concat_ws("|", F.lit("e"), "event"))
+    case = F.when(F.col("case_id").isNotNull(), F.concat("event", F.concat_ws("|", F.lit("c"), "hospital_id", "case_id").cast("binary"))).otherwise(F.col("event"))
     return rows.withColumn("event", event).withColumn("complete", complete).withColumn("case_key", case)
 
 
 def ranked_copies(rows: DataFrame) -> DataFrame:
     """``rn`` = 1 for the row of each case to keep: the newest import, then the most complete, then the least key."""
     order = Window.partitionBy("case_key").orderBy(F.desc("import_id"), F.desc("complete"), "fact_key")
-    return cased(rows).withColumn("rn", F.row_number().over(order))
+    return cased(rows).repartition("case_key").withColumn("rn", F.row_number().over(order))  # moved first, so that rows are sorted once
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def dedup_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _repeated(spark: SparkSession, d: str) -> DataFrame:
     """Allocations of which every third comes again in a later import without notes, and others once more in the same import."""
-    a = raw_allocations(spark, d)
+    a = allocations_by_import(spark, d)
     later = a.where("speciality_id % 3 = 0").withColumns({"import_id": F.col("import_id") + 1, "fact_key": F.concat("fact_key", F.lit("-b")), "notes": F.lit(None).cast("string")})
     return a.unionByName(later).unionByName(a.where("speciality_id = 4").withColumns({"fact_key": F.concat("fact_key", F.lit("-c")), "notes": F.lit("")}))
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from allocspark.operators import dedup_index as D
 from allocspark.operators import raw_review as R
-from allocspark.operators.maintenance import OPTIONAL, PRINT, deduplicated
+from allocspark.operators.maintenance import OPTIONAL, PRINT, _repeated, deduplicated
 from allocspark.operators.store import Store
+from allocspark.sources.binding import allocations_by_import, raw_allocations
 
 KIND = "fact_key string, import_id int, hospital_id int, case_id long, created_at timestamp_ntz, arrival_at timestamp_ntz, age int, gender_code int, urgency_code int, speciality_id int, department_id int, assignment_id int, dispatch_area_id int, indication_raw_id int, notes string, assessment_id int, secondary_indication_id int, occasion_id int, infection_id int"
 assert {*PRINT, *OPTIONAL} <= {c.split()[0] for c in KIND.split(", ")}
@@ -66,6 +67,30 @@ def test_months_that_an_import_does_not_touch_are_left_alone(spark, tmp_path):
     assert store.state()[D.CASES]["1997-01"] == january and {"1997-02", "1997-03"} <= set(store.parts(D.CASES))
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cases_are_moved_once_to_be_ranked_and_written(spark):
+    class Seen:
+        def replace_by(self, table, key, rows, laid=False):
+            self.laid, self.plan = laid, planned(rows)
+
+    seen = Seen()
+    D._put_cases(seen, rows_of(spark, 3, (1, 2)))
+    assert seen.laid and seen.plan.count("Exchange") == 1
+
+
+def test_repeated_rows_join_no_tables_and_an_import_reads_its_own_files(spark):
+    sf = "/root/testdata/sf0.001"
+    rows, raw = allocations_by_import(spark, sf), raw_allocations(spark, sf)
+    rows = rows.select(*raw.columns)
+    assert rows.schema == raw.schema and rows.count() == raw.count() and not rows.exceptAll(raw).count()
+    assert "Join" not in planned(_repeated(spark, sf))
+    own = planned(_repeated(spark, sf).where("import_id = 200105"))
+    assert own.count("PartitionFilters: []") == 0 and own.count("PartitionFilters: [") == 3
+
+
 def used(spark):
     at = lambda d: dt.datetime(1997, 1, d)
     rows = [("a", 1, 5, None, at(1)), ("b", 1, 5, 6, at(2)), ("c", 2, 6, 5, at(3)), ("d", 9, 7, 7, at(4)), ("e", 1, None, 5, at(5)), ("f", 1, 5, None, at(5)), ("g", 1, None, None, at(6))]
