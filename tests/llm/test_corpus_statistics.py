@@ -184,3 +184,16 @@ def test_weights_learn_from_earlier_blocks_only():
     n = int((doc == 0).sum()) - 1
     assert np.allclose(a[:n], b[:n]) and np.allclose(a[doc == 1], b[other == 1])
     assert a[600:700].mean() != a[:100].mean()
+
+
+def test_each_bit_moves_the_weights_of_its_gate_before_the_next_one():
+    r = np.random.default_rng(9)
+    lane = np.concatenate((r.integers(0, 40, 3000), np.full(500, 7), np.full(200, 3)))
+    own, cross, bit = r.normal(0, 2, len(lane)).astype(np.float32), r.normal(0, 2, len(lane)).astype(np.float32), r.integers(0, 2, len(lane))
+    weights = np.tile([1.0, 0.3], (41, 1))
+    got = lm_mixing.learned(own, cross, bit, lane, weights)
+    w, want = np.tile([1.0, 0.3], (41, 1)), []
+    for x, z, y, k in zip(own, cross, bit, lane, strict=True):
+        want.append(min(14, max(-14, w[k] @ [x, z])))
+        w[k] += lm_mixing.LEARN * (y - 1 / (1 + math.exp(-want[-1]))) * np.array([x, z])
+    assert np.allclose(got, want, atol=1e-3) and np.allclose(weights, w, atol=1e-3)
