@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from allocspark.llm import bucket_maps, collocations, lm_mixing, source_divergence
 
@@ -197,3 +199,39 @@ def test_each_bit_moves_the_weights_of_its_gate_before_the_next_one():
         want.append(min(14, max(-14, w[k] @ [x, z])))
         w[k] += lm_mixing.LEARN * (y - 1 / (1 + math.exp(-want[-1]))) * np.array([x, z])
     assert np.allclose(got, want, atol=1e-3) and np.allclose(weights, w, atol=1e-3)
+
+
+def test_words_are_asked_for_and_answered_by_buckets(spark):
+    """What is moved is a row for each chunk and bucket, whatever number of distinct words there are; an answer holds counts alone."""
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(200)), "en", "a") for i in range(100)]
+    docs = frame(spark, rows).select("doc_id", lm_mixing.fold(F.col("doc_id")).alias("fold"), "text")
+    chunks = lm_mixing.chunked(docs.coalesce(2), most=5000).cache()
+    asked = lm_mixing.word_rows(chunks, 7)
+    got = lm_mixing.word_counts(asked).collect()
+    assert len(got) == asked.count() <= 7 * chunks.count() < 1000
+    c = Counter(w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 10 != lm_mixing.HELD_OUT for w in [*t.split(), lm_mixing.END])
+    assert (sum(x.n for x in got), sum(x.v for x in got)) == (sum(c.values()), len(c))
+    told = {(x.chunk, x.bucket): lm_mixing.unpacked(x.data) for x in got}
+    for chunk in chunks.collect():
+        _, _, _, lens, raw = lm_mixing.unpacked(bytes(chunk.data))
+        words = lm_mixing.tokens(raw, lens).vocabulary
+        order, begin = lm_mixing.by_bucket(words, 7)
+        for b in range(7):
+            own = words.take(pa.array(order[begin[b] : begin[b + 1]])).to_pylist()
+            assert not own or told[chunk.chunk, b][0].tolist() == [c[w] for w in own]
+
+
+def test_mixing_keeps_few_bits_at_once():
+    """The bits of a chunk's tokens are not all in memory at one time."""
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(500)]
+    texts = [" ".join(r.choices(words, k=150)).encode() for _ in range(1500)]
+    text = lm_mixing.tokens(np.frombuffer(b"".join(texts), np.uint8), np.array(list(map(len, texts))))
+    table = np.random.default_rng(4).integers(-60, 60, lm_mixing.regions(1 << 12)[1]).astype(np.int8)
+    spelled = lm_mixing.looked_up(text.vocabulary, lm_mixing.Code(np.ones(256, int)), 1 << 12, table, lm_mixing.beginning()[0])
+    tracemalloc.start()
+    cost, _ = lm_mixing.mixed(text, spelled, table, 1 << 12, lm_mixing.beginning()[1], len(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cost) == 1500 * 151 and peak < 90e6
