@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from allocspark.llm import pfor, secret_scan, sharding, suffix_runs, toxicity
-from allocspark.llm.bpe import LibraryWords, PieceModel, WordModel
+from allocspark.llm.bpe import NONE, LibraryWords, Merges, PieceModel, WordModel
 from allocspark.llm.shingles import shingle_sets
 
 ODD = ["", " ", "  ", "a ", " a", "▁a", "\n", " \n a", "x" + " " * 17 + "y", "<s></s><0x0A>", "<|endoftext|>", "it's WE'VE", "İΣσıßẞ½²", "日本語🙂", "a\x00b\x1cc", "é", "thereand " * 50]
@@ -150,3 +151,27 @@ def test_trees_and_calibration():
     points, values = toxicity.isotonic(s, y[2000:])
     assert (np.diff(values) >= 0).all() and (np.diff(points) > 0).all()
     assert len(toxicity.features("", {})) == len(toxicity.features("You 1d1ot!", {"idiot": 2.0}))
+
+
+def test_known_pairs_are_found_and_no_others():
+    r = np.random.default_rng(3)
+    left, right = np.unique(r.integers(0, 300, (20000, 2)), axis=0).T
+    rank = r.permutation(len(left))
+    pairs = {(a, b): k for a, b, k in zip(left.tolist(), right.tolist(), rank.tolist(), strict=True)}
+    for n in (0, 1, 2, len(left)):
+        some = {p for p, _ in zip(pairs, range(n), strict=False)}
+        merges = Merges(left[:n], right[:n], rank[:n], np.arange(n))
+        a, b = r.integers(0, 310, (2, 50000))
+        assert merges.rank(a, b).tolist() == [pairs[p] if p in some else int(NONE) for p in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_new_words_cost_no_call_each():
+    model = WordModel(P.path("word_bpe_49k.json"))
+    units = [f"It's{i}Wörd-{i * 7919}" for i in range(5000)]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        model.encode_units(units)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 5000
